@@ -18,6 +18,7 @@ itself. An empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -35,13 +36,25 @@ END_ID = 2
 #: A window may stay this many ids short of the capacity before a document is cut to fill it.
 SLACK = 4
 #: Words held by one generation of a worker's cache.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 TEXTS_AT_ONCE = 512
+#: A stop or comma that the tokenizer would join with the mark before it.
+MARKS = re.compile(r"[.,]\s(?<=[^\w\s]..|_..)")
+_ENCODERS: dict = {}
 
 TOKENIZED = "doc_id long, doc_tokens long, task int, length int, rank long, full_from long, full_crcs array<long>, crc long, part_crcs array<long>"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, is_cut boolean"
 
 
+def _latin(text: str) -> bool:
+    """No character of text is above U+00FF."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordEncoder:
     """Token ids of whole texts as little-endian uint32 bytes, from a word-level tokenizer file.
 
@@ -62,28 +75,25 @@ class WordEncoder:
 
     @staticmethod
     def words(text: str) -> list[str]:
+        """The text's words as keys of the cache: where that can't change the ids, in lower case and apart from the stop or comma behind them."""
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for str.split, but not for the tokenizer
             return [w for line in text.split("\n") for w in line.split(" ") if w]
+        if text.isascii() or _latin(text):  # letters whose lower case is one letter, and no others
+            text = text.lower()
+            if not MARKS.search(text):
+                text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ").replace(",\n", " , ")
         return text.split()
 
     def _encode(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, words: set[str]) -> None:
-        """Words of letters below U+0130, perhaps with one mark behind them, share the ids of their lower-case letters."""
+        """Words of letters up to U+00FF are one word to the tokenizer, so many can be encoded at once and told apart by their ends."""
         for w in [w for w in words if w in self.old]:
             self.young[w] = self.old[w]
             words.discard(w)
-        cores: dict[str, list[tuple[str, str]]] = {}
-        rest = []
-        for w in words:
-            core, mark = (w[:-1], w[-1]) if w[-1] in ".,;:!?" else (w, "")
-            if core.isalpha() and max(core) < "İ":
-                cores.setdefault(core.lower(), []).append((w, mark))
-            else:
-                rest.append(w)
-        marks = {m: b for m, b in zip(".,;:!?", self._encode(list(".,;:!?")), strict=True)} | {"": b""}
-        names = list(cores)
+        names = [w for w in words if w.isalpha() and (w.isascii() or _latin(w))]
+        rest = list(words.difference(names))
         for i in range(0, len(names), 20_000):
             part = names[i : i + 20_000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
@@ -91,8 +101,7 @@ class WordEncoder:
             assert len(ends) == len(part), "a word of letters is one word to the tokenizer"
             raw, begin = ids.tobytes(), 0
             for name, end in zip(part, (4 * ends).tolist(), strict=True):
-                for w, mark in cores[name]:
-                    self.young[w] = raw[begin:end] + marks[mark]
+                self.young[name] = raw[begin:end]
                 begin = end
         for i in range(0, len(rest), 20_000):
             part = rest[i : i + 20_000]
@@ -123,7 +132,8 @@ def binary_parts(length: int) -> list[tuple[int, int]]:
 
 def _tokenize(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = WordEncoder(path), TaskContext.get().partitionId()
+        encoder, task = _ENCODERS.setdefault(path, None) or WordEncoder(path), TaskContext.get().partitionId()
+        _ENCODERS[path] = encoder  # words stay known to the tasks that follow in this worker
         tail, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
         seen: dict[int, int] = {}
         full_seen = 0
