@@ -1,4 +1,7 @@
 """Every query of the library by name, with its SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import retrieval
+
+_PARTS = (retrieval,)
+QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES: dict[str, str] = {name: text for part in _PARTS for name, text in part.ORACLES.items()}
