@@ -122,7 +122,7 @@ def semantic_chunks(pieces: DataFrame, threshold: float = 0.5, size: int = WORDS
     near = F.lit(False)
     for k in range(1, skip + 2):
         before = F.lag("v", k).over(order)
-        near = near | F.coalesce(dot(F.col("v"), before) / (norm(F.col("v")) * norm(before)) >= threshold, F.lit(False))
+        near = near | F.coalesce(F.try_divide(dot(F.col("v"), before), norm(F.col("v")) * norm(before)) >= threshold, F.lit(False))
     fresh = own.withColumn("near", near).withColumn("run", F.sum((~F.col("near")).cast("int")).over(order))
     runs = fresh.groupBy(id_col, "run").agg(F.array_sort(F.collect_list(F.struct("piece_index", "text"))).alias("parts"))
     each = runs.select(id_col, "run", F.posexplode(packed(F.transform("parts", lambda p: p.text), size, " ")).alias("k", "c"))

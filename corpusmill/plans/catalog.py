@@ -1,7 +1,7 @@
 """Every query of the library by name, with its SQL."""
 
-from . import retrieval
+from . import domain, retrieval, texts
 
-_PARTS = (retrieval,)
+_PARTS = (retrieval, texts, domain)
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES: dict[str, str] = {name: text for part in _PARTS for name, text in part.ORACLES.items()}
