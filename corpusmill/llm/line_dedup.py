@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-RATIO = 0.3
+RATIO = 0.02
 LEAST_PAGES = 5
 
 
