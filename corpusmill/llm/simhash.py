@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -379,7 +379,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text
     sure = links_.where(F.col("bits") <= near).select("u", "v")
     doubtful = links_.where(F.col("bits") > near).select("u", "v")
     ends = doubtful.select(F.col("u").alias("end")).unionAll(doubtful.select("v")).distinct()
-    whole = staged(texts.join(ends, F.col("tid") == F.col("end"), "left_semi").dropDuplicates(["tid"]), "whole")
+    whole = staged(texts.join(ends.hint("merge"), F.col("tid") == F.col("end"), "left_semi").dropDuplicates(["tid"]), "whole")
     pairs = doubtful.join(whole.select(F.col("tid").alias("ut"), F.col("text").alias("u_text")), F.col("u") == F.col("ut")).join(whole.select(F.col("tid").alias("vt"), F.col("text").alias("v_text")), F.col("v") == F.col("vt"))
     checked = pairs.select("u", "v", "u_text", "v_text").mapInArrow(_verify(shingle, similarity), "u binary, v binary")
     return components(sure.unionAll(checked)).select(F.col("node").alias("tid"), "root")
@@ -390,11 +390,18 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col:
 
     All columns stay. Rows with a null text are groups of their own.
     """
-    from pyspark.sql import Window
-
-    roots = staged(near_groups(docs, shingle, similarity, text_col).select(F.col("tid").alias("__cm_node"), F.col("root").alias("__cm_root")), "roots")
-    own = docs.withColumn("__cm_tid", F.unhex(F.md5(F.col(text_col).cast("string"))))
-    joined = own.join(roots, F.col("__cm_tid") == F.col("__cm_node"), "left").withColumn("__cm_group", F.coalesce("__cm_root", "__cm_tid"))
-    rank = F.row_number().over(Window.partitionBy("__cm_group").orderBy(F.col(id_col).asc_nulls_last(), "__cm_tid"))
-    some = joined.where("__cm_group is not null").withColumn("__cm_rank", rank).where("__cm_rank = 1")
-    return some.select(*docs.columns).unionAll(joined.where("__cm_group is null").select(*docs.columns))
+    key = F.unhex(F.md5(F.col(text_col).cast("string")))
+    firsts = docs.select(key.alias("tid"), F.col(id_col).alias("id")).where("tid is not null").groupBy("tid").agg(F.min("id").alias("id"))
+    roots = near_groups(docs, shingle, similarity, text_col).select(F.col("tid").alias("node"), "root")
+    grouped = firsts.join(roots, F.col("tid") == F.col("node"), "left").groupBy(F.coalesce("root", "tid").alias("group"))
+    best = grouped.agg(F.min(F.struct(F.col("id").isNull(), "id", "tid")).alias("b"))
+    keepers = staged(best.select(F.col("b.tid").alias("__cm_t"), _id_key(F.col("b.id")).alias("__cm_i")), "keepers")
+    # Texts are shuffled once, in the same way at every size; equal texts are told apart by their ids, so a large group of copies is spread.
+    own = docs.where(F.col(text_col).isNotNull()).withColumns({"__cm_tid": key, "__cm_id": _id_key(F.col(id_col))})
+    found = own.join(keepers.hint("merge"), (F.col("__cm_tid") == F.col("__cm_t")) & (F.col("__cm_id") == F.col("__cm_i")), "left_semi")
+    one = F.row_number().over(Window.partitionBy("__cm_tid", "__cm_id").orderBy("__cm_tid"))  # rows that repeat an id and a text
+    return found.withColumn("__cm_n", one).where("__cm_n = 1").select(*docs.columns).unionAll(docs.where(F.col(text_col).isNull()))
+
+
+def _id_key(column: F.Column) -> F.Column:
+    return F.coalesce(column.cast("string"), F.lit("null"))
