@@ -88,6 +88,8 @@ def _add_back(unit: np.ndarray, links: np.ndarray, new: np.ndarray, chosen: np.n
     """Links from chosen neighbours back to the new nodes, thinned out where a node has too many."""
     source, target = np.repeat(new, chosen.shape[1]), chosen.ravel()
     source, target = source[target >= 0], target[target >= 0]
+    if not len(target):
+        return
     order = np.argsort(target, kind="stable")
     source, target = source[order], target[order]
     nodes, starts = np.unique(target, return_index=True)

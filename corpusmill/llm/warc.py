@@ -225,7 +225,9 @@ class WarcReader(DataSourceReader):
                 out += [_Part(f.path, at, min(f.size, at + RANGE)) for at in range(0, f.size, RANGE)]
         return out
 
-    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Part | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no archive at all
+            return
         system, _ = pa.fs.FileSystem.from_uri(self.root)
         kinds = list(_TESTS.values())
         tests = [(NAMES.index(n), kinds[k], v) for n, k, v in self.filters]
