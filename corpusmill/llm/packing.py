@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +38,9 @@ END_ID = 2
 SLACK = 4
 #: Words held by one generation of a worker's cache.
 CACHE_WORDS = 400_000
-TEXTS_AT_ONCE = 512
+TEXTS_AT_ONCE = 4096
+CHARACTERS_AT_ONCE = 6_000_000
+ENCODED_AT_ONCE = 500
 #: A stop or comma that the tokenizer would join with the mark before it.
 MARKS = re.compile(r"[.,]\s(?<=[^\w\s]..|_..)")
 _ENCODERS: dict = {}
@@ -59,14 +62,20 @@ class WordEncoder:
     """Token ids of whole texts as little-endian uint32 bytes, from a word-level tokenizer file.
 
     The tokenizer drops white space and never joins what stands on both sides of it, so a text's ids are those of its
-    white-space separated words one after the other; each distinct word is encoded once and kept in a bounded cache.
+    white-space separated words one after the other. Many texts are split at once and their words numbered by Arrow;
+    each different word is encoded once, kept in a bounded cache, and put in its places by array indexing.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        #: For lower-case letters that the normalizer leaves alone: white space alone parts words.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.is_end[i] = token.endswith("</w>")
@@ -74,29 +83,21 @@ class WordEncoder:
         self.old: dict[str, bytes] = {}
 
     @staticmethod
-    def words(text: str) -> list[str]:
-        """The text's words as keys of the cache: where that can't change the ids, in lower case and apart from the stop or comma behind them."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for str.split, but not for the tokenizer
-            return [w for line in text.split("\n") for w in line.split(" ") if w]
+    def simpler(text: str) -> str:
+        """A text with the same ids and fewer different words: where that can't change the ids, in lower case and with stops and commas apart from the word before."""
         if text.isascii() or _latin(text):  # letters whose lower case is one letter, and no others
             text = text.lower()
             if not MARKS.search(text):
                 text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ").replace(",\n", " , ")
-        return text.split()
+        return text
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Words of letters up to U+00FF are one word to the tokenizer, so many can be encoded at once and told apart by their ends."""
-        for w in [w for w in words if w in self.old]:
-            self.young[w] = self.old[w]
-            words.discard(w)
-        names = [w for w in words if w.isalpha() and (w.isascii() or _latin(w))]
-        rest = list(words.difference(names))
-        for i in range(0, len(names), 20_000):
-            part = names[i : i + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        names = [w for w in words if w.isalpha() and w.islower() and (w.isascii() or _latin(w))]
+        rest = list(set(words).difference(names))
+        for i in range(0, len(names), ENCODED_AT_ONCE):
+            part = names[i : i + ENCODED_AT_ONCE]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.is_end[ids]) + 1
             assert len(ends) == len(part), "a word of letters is one word to the tokenizer"
             raw, begin = ids.tobytes(), 0
@@ -105,19 +106,43 @@ class WordEncoder:
                 begin = end
         for i in range(0, len(rest), 20_000):
             part = rest[i : i + 20_000]
-            self.young.update(zip(part, self._encode(part), strict=True))
+            self.young.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these different words."""
+        if len(self.young) + len(words) > CACHE_WORDS and self.young:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = [w for w in words if w not in young]
+        found = [w for w in missing if w in old]
+        young.update(zip(found, map(old.__getitem__, found), strict=True))
+        if len(found) < len(missing):
+            self._learn([w for w in missing if w not in young])
+        return list(map(young.__getitem__, words))
+
+    def _part(self, texts: list[str]) -> Iterator[bytes]:
+        split = pc.ascii_split_whitespace(pa.array([self.simpler(t) for t in texts], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        words, borders = coded.indices.to_numpy(), split.offsets.to_numpy()
+        known = self._known(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(known), "<u4")
+        counts = sizes[words]
+        ends = np.cumsum(counts)
+        own = ids[np.repeat(starts[words] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+        edges = np.concatenate([[0], ends])[borders].tolist()
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield own[a:b].tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [self.words(t) for t in texts]
-        missing = set().union(*split) - self.young.keys()
-        if missing:
-            if len(self.young) + len(missing) > CACHE_WORDS and self.young:
-                self.old, self.young = self.young, {}
-                missing = set().union(*split)
-            self._learn(missing)
-        get = self.young.__getitem__
-        for words in split:
-            yield b"".join(map(get, words))
+        begin = size = 0
+        for i, text in enumerate(texts):
+            if size and size + len(text) > CHARACTERS_AT_ONCE:
+                yield from self._part(texts[begin:i])
+                begin, size = i, 0
+            size += len(text)
+        if begin < len(texts):
+            yield from self._part(texts[begin:])
 
 
 def binary_parts(length: int) -> list[tuple[int, int]]:
