@@ -72,7 +72,7 @@ class Store:
         return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _current(self, table: str) -> str | None:
-        pointer = self._path(f"{self.root}/{table}/_current.json")
+        pointer = self._path(f"{self.root}/{table}/current.json")
         if not self._fs().exists(pointer):
             return None
         return json.loads(self.spark.read.text(pointer.toString()).first()[0])["version"]
@@ -91,7 +91,7 @@ class Store:
         if "organization_id" in frame.columns:
             writer = writer.partitionBy("organization_id")
         writer.parquet(f"{self.root}/{table}/{version}")
-        out = self._fs().create(self._path(f"{self.root}/{table}/_current.json"), True)
+        out = self._fs().create(self._path(f"{self.root}/{table}/current.json"), True)
         out.write(bytearray(json.dumps({"version": version}).encode()))
         out.close()
 
