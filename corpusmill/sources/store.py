@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .schemas import SCHEMAS, seed_acronyms
 
@@ -71,18 +72,18 @@ class Store:
     def _fs(self):
         return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _current(self, table: str) -> str | None:
+    def _current(self, table: str) -> dict | None:
         pointer = self._path(f"{self.root}/{table}/current.json")
         if not self._fs().exists(pointer):
             return None
-        return json.loads(self.spark.read.text(pointer.toString()).first()[0])["version"]
+        return json.loads(self.spark.read.text(pointer.toString()).first()[0])
 
     def read(self, table: str) -> DataFrame:
         """The current rows; none of a table that was never written."""
-        version = self._current(table)
-        if version is None:
+        current = self._current(table)
+        if current is None:
             return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.parquet(f"{self.root}/{table}/{version}")
+        return self.spark.read.schema(StructType.fromJson(current["schema"])).parquet(f"{self.root}/{table}/{current['version']}")
 
     def write(self, table: str, frame: DataFrame) -> None:
         """Make frame the table's rows, in folders by organization where the table has that column."""
@@ -92,7 +93,7 @@ class Store:
             writer = writer.partitionBy("organization_id")
         writer.parquet(f"{self.root}/{table}/{version}")
         out = self._fs().create(self._path(f"{self.root}/{table}/current.json"), True)
-        out.write(bytearray(json.dumps({"version": version}).encode()))
+        out.write(bytearray(json.dumps({"version": version, "schema": frame.schema.jsonValue()}).encode()))
         out.close()
 
     def append(self, table: str, rows: DataFrame) -> None:
