@@ -37,9 +37,9 @@ END_ID = 2
 #: A window may stay this many ids short of the capacity before a document is cut to fill it.
 SLACK = 4
 #: Words held by one generation of a worker's cache.
-CACHE_WORDS = 400_000
-TEXTS_AT_ONCE = 4096
-CHARACTERS_AT_ONCE = 6_000_000
+CACHE_WORDS = 250_000
+TEXTS_AT_ONCE = 2048
+CHARACTERS_AT_ONCE = 4_000_000
 ENCODED_AT_ONCE = 500
 #: A stop or comma that the tokenizer would join with the mark before it.
 MARKS = re.compile(r"[.,]\s(?<=[^\w\s]..|_..)")
@@ -72,9 +72,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         #: For lower-case letters that the normalizer leaves alone: white space alone parts words.
-        self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
-        self.plain.normalizer = None
+        self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
