@@ -1,6 +1,6 @@
 """Document scores by masked pseudo-likelihood of a bidirectional window network.
 
-Tokens are the lower-cased white-space separated words, hashed to `BUCKETS` identities; the last CLASS_BITS bits of an
+Tokens are the lower-cased words between ASCII white space, hashed to `BUCKETS` identities; the last CLASS_BITS bits of an
 identity are its class. A network looks at the two tokens before and the two behind a place (positions beyond the text
 are a blank class of their own), adds up one embedding for each of the four places, and gives the class that stands
 there through a hidden layer and a softmax; within the class an identity has its share of the corpus. The sum of
@@ -20,49 +20,55 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 14
-CLASS_BITS = 7
+BUCKETS = 1 << 15
+CLASS_BITS = 6
 CLASSES = 1 << CLASS_BITS
 WIDTH = 16
 PLACES = (-2, -1, 1, 2)
 STEP = 4096
+CHARACTERS_AT_ONCE = 4_000_000
 RATE = 0.5
 SEED = 7
-CACHE = 400_000
 
 SCORED = "doc_id long, n_tokens long, score double, mean_score double"
 
 
-class Words:
-    """Identities of words, with a bounded cache."""
+def identities(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, borders): identities of the words of all texts, one after the other, and where each text begins and ends."""
+    from xxhash import xxh32_intdigest
 
-    def __init__(self):
-        self.known: dict[str, int] = {}
+    lower = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    split = pc.ascii_split_whitespace(lower)
+    coded = split.flatten().dictionary_encode()
+    names = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    known = np.fromiter((xxh32_intdigest(w, SEED) & (BUCKETS - 1) if w else -1 for w in names), np.int32, len(names))
+    ids, borders = known[coded.indices.to_numpy()], split.offsets.to_numpy()
+    full = ids >= 0  # white space at an end gives an empty word
+    return ids[full], np.concatenate([[0], np.cumsum(full)])[borders]
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        from xxhash import xxh32_intdigest
 
-        words = (text or "").lower().split()
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
-        except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = xxh32_intdigest(w.encode("utf-8", "surrogatepass"), SEED) & (BUCKETS - 1)
-            return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+def windows(ids: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """(tokens, 4): the classes at the four places around each token; CLASSES beyond its text."""
+    text = np.repeat(np.arange(len(borders) - 1), np.diff(borders))
+    places = np.arange(len(ids)) + 2 * (text + 1)  # two blanks part neighbouring texts
+    classes = np.full(len(ids) + 2 * len(borders), CLASSES, np.int32)
+    classes[places] = ids & (CLASSES - 1)
+    return np.stack([classes[places + p] for p in PLACES], 1)
 
 
-def windows(ids: np.ndarray) -> np.ndarray:
-    """(tokens, 4): the classes at the four places around each token; CLASSES beyond the text."""
-    classes = np.full(len(ids) + 4, CLASSES, np.int32)
-    classes[2:-2] = ids & (CLASSES - 1)
-    return np.stack([classes[2 + p : 2 + p + len(ids)] for p in PLACES], 1)
+def parts(batch: pa.Array) -> Iterator[pa.Array]:
+    """Stretches of a column of texts of bounded size; one long text is a stretch of its own."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(batch):
+        before = sizes[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(sizes, before + CHARACTERS_AT_ONCE, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
 
 
 class Network:
@@ -110,38 +116,24 @@ class Network:
         self.out -= hidden.T @ p
         self.bias -= p.sum(0)
         for j in range(len(PLACES)):
-            order = np.argsort(rows[:, j], kind="stable")
+            order = np.argsort(rows[:, j].astype(np.uint16), kind="stable")  # a radix sort
             own = rows[order, j]
             starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
             self.embed[own[starts]] -= np.add.reduceat(back[order], starts, axis=0)
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, net, counts = Words(), Network(), np.zeros(BUCKETS, np.int64)
-    held: list[np.ndarray] = []
-    sides: list[np.ndarray] = []
-    n = seen = steps = 0
-
-    def run() -> None:
-        nonlocal held, sides, n, steps
-        ids, around = np.concatenate(held), np.concatenate(sides)
-        for at in range(0, len(ids), STEP):
-            steps += 1
-            net.learn(around[at : at + STEP], ids[at : at + STEP] & (CLASSES - 1), RATE * 4 / (1 + steps / 400) ** 0.5)
-        held, sides, n = [], [], 0
-
+    net, counts = Network(), np.zeros(BUCKETS, np.int64)
+    seen = steps = 0
     for batch in batches:
-        for text in batch.column(0):
-            ids = words(text.as_py())
-            if len(ids):
-                counts += np.bincount(ids, minlength=BUCKETS)
-                held.append(ids)
-                sides.append(windows(ids))
-                n, seen = n + len(ids), seen + len(ids)
-                if n >= 16 * STEP:
-                    run()
-    if n:
-        run()
+        for part in parts(batch.column(0)):
+            ids, borders = identities(part)
+            around = windows(ids, borders)
+            counts += np.bincount(ids, minlength=BUCKETS)
+            seen += len(ids)
+            for at in range(0, len(ids), STEP):
+                steps += 1
+                net.learn(around[at : at + STEP], ids[at : at + STEP] & (CLASSES - 1), RATE * 4 / (1 + steps / 400) ** 0.5)
     if seen:
         flat = net.flat().astype(np.float64) * seen
         at = np.flatnonzero(counts)
@@ -158,13 +150,15 @@ class Model:
         classes = np.arange(BUCKETS) & (CLASSES - 1)
         self.inside = np.log(raised / np.bincount(classes, raised, CLASSES)[classes])
 
-    def score(self, ids: np.ndarray) -> float:
-        """Sum of log p(token | both sides) over all places."""
-        around, total = windows(ids), 0.0
+    def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """For every text its tokens, and the sum of log p(token | both sides) over all of its places."""
+        ids, borders = identities(texts)
+        around, each = windows(ids, borders), np.zeros(len(ids) + 1)
         for at in range(0, len(ids), STEP):
             own = ids[at : at + STEP]
-            total += float(self.net.log_p(around[at : at + STEP], own & (CLASSES - 1)).sum(dtype=np.float64)) + float(self.inside[own].sum())
-        return total
+            each[at + 1 : at + 1 + len(own)] = self.net.log_p(around[at : at + STEP], own & (CLASSES - 1)) + self.inside[own]
+        sums = np.cumsum(each)
+        return np.diff(borders), np.diff(sums[borders])
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
@@ -179,15 +173,12 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, words = model.value, Words()
+        own = model.value
         for batch in batches:
-            counts, scores = [], []
-            for text in batch.column(1):
-                ids = words(text.as_py())
-                counts.append(len(ids))
-                scores.append(own.score(ids) if len(ids) else 0.0)
-            means = [s / n if n else 0.0 for s, n in zip(scores, counts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(scores, pa.float64()), pa.array(means, pa.float64())], names=["doc_id", "n_tokens", "score", "mean_score"])
+            found = [own.scores(part) for part in parts(batch.column(1))]
+            counts, sums = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0))
+            means = np.divide(sums, counts, out=np.zeros(len(sums)), where=counts > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], names=["doc_id", "n_tokens", "score", "mean_score"])
 
     return run
 
