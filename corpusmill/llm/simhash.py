@@ -249,6 +249,8 @@ WIDE, BANDS, ROWS = 64 * WIDE_WORDS, 16, 4
 CELL = 4096
 #: Keys of at most this many members give every near pair, larger ones the links of a minimum spanning forest.
 FEW = 12
+#: The distance alone decides only about sets whose sizes are this close, as it follows the cosine.
+EVEN = 0.95
 
 
 def _spread(hashes: np.ndarray, odd: int) -> np.ndarray:
@@ -287,7 +289,7 @@ def _features(shingle: int):
                 for j in range(ROWS):
                     mixed = _spread(mixed ^ least[:, j], MIXERS[0])
                 tids.append(tid)
-                fps.append(wide.to_bytes(WIDE // 8, "little"))
+                fps.append(wide.to_bytes(WIDE // 8, "little") + len(own).to_bytes(8, "little"))
                 keys.append(mixed.view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(tids, pa.binary()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["tid", "fp", "keys"])
 
@@ -329,16 +331,18 @@ def spanning_links(members: list[int], far: int, bits: int) -> list[tuple[int, i
     return links
 
 
-def _near_links(far: int):
+def _near_links(near: int, far: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, tids, fps in _runs(["cell", "tid", "fp"])(batches):
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
             out: dict[tuple[bytes, bytes], int] = {}
             for i in np.flatnonzero(np.diff(starts) > 1).tolist():
-                own = {bytes(t): int.from_bytes(f, "little") for t, f in zip(tids[starts[i] : starts[i + 1]], fps[starts[i] : starts[i + 1]], strict=True)}
+                own = {bytes(t): (int.from_bytes(f[: WIDE // 8], "little"), int.from_bytes(f[WIDE // 8 :], "little")) for t, f in zip(tids[starts[i] : starts[i + 1]], fps[starts[i] : starts[i + 1]], strict=True)}
                 names = list(own)
-                for x, y, d in spanning_links(list(own.values()), far, WIDE):
-                    out[(min(names[x], names[y]), max(names[x], names[y]))] = d
+                for x, y, d in spanning_links([v[0] for v in own.values()], far, WIDE):
+                    a, b = sorted((names[x], names[y]))
+                    sizes = sorted((own[a][1], own[b][1]))
+                    out[a, b] = d if sizes[0] >= EVEN * sizes[1] else max(d, near + 1)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.binary()), pa.array([k[1] for k in out], pa.binary()), pa.array(list(out.values()), pa.int32())], names=["u", "v", "bits"])
 
@@ -375,7 +379,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))).select(
         F.when(F.col("k").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("cell"), "tid", "fp"
     )
-    links_ = staged(cells.repartition("cell").sortWithinPartitions("cell", "tid").mapInArrow(_near_links(far), "u binary, v binary, bits int").groupBy("u", "v").agg(F.min("bits").alias("bits")), "links")
+    links_ = staged(cells.repartition("cell").sortWithinPartitions("cell", "tid").mapInArrow(_near_links(near, far), "u binary, v binary, bits int").groupBy("u", "v").agg(F.min("bits").alias("bits")), "links")
     sure = links_.where(F.col("bits") <= near).select("u", "v")
     doubtful = links_.where(F.col("bits") > near).select("u", "v")
     ends = doubtful.select(F.col("u").alias("end")).unionAll(doubtful.select("v")).distinct()
