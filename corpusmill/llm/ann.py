@@ -31,6 +31,8 @@ BEAM = 200
 BLOCK = 256
 QUERIES_AT_ONCE = 512
 QUERY_BLOCK = 8192
+#: Tasks of a stage over shards at most; each then works on several shards one after the other.
+MOST_TASKS = 20_000
 
 FOUND = "query_id long, vec_id long, score double"
 INDEX = "dim int, shard int, qb int, n int, ids binary, id_counts binary, vectors binary, sizes array<int>, links binary"
@@ -242,12 +244,16 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = K, shard_rows: i
     distinct = staged(distinct, "vectors")
     dims = distinct.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards")).select(F.col("dim").alias("of_dim"), "shards")
     dealt = distinct.join(dims, F.col("dim") == F.col("of_dim")).withColumn("shard", F.pmod(F.xxhash64("vec"), F.col("shards")).cast("int"))
-    index = staged(dealt.select("dim", "shard", "vec", "ids").groupBy("dim", "shard").applyInArrow(_build_shard, INDEX), "graphs")
+    # Shards are few bytes and much work: a task each, which adaptive execution doesn't merge.
+    total = dims.agg(F.coalesce(F.sum("shards"), F.lit(1))).first()[0]
+    own = dealt.select("dim", "shard", "vec", "ids").repartition(min(total, MOST_TASKS), "dim", "shard")
+    index = staged(own.groupBy("dim", "shard").applyInArrow(_build_shard, INDEX), "graphs")
     asked = staged(queries.select(F.col("id").alias("query_id"), "vec", "dim").distinct(), "queries")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     shards = index.select(F.col("dim").alias("i_dim"), F.col("shard").alias("i_shard"))
     sent = asked.join(shards, F.col("dim") == F.col("i_dim")).select("query_id", "vec", "dim", F.col("i_shard").alias("shard"), F.pmod(F.hash("query_id"), F.lit(blocks)).alias("qb"))
     copies = index.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = sent.groupBy("dim", "shard", "qb").cogroup(copies.groupBy("dim", "shard", "qb")).applyInArrow(_search_shard(k, beam), FOUND)
+    tasks, keys = min(total * blocks, MOST_TASKS), ["dim", "shard", "qb"]
+    found = sent.repartition(tasks, *keys).groupBy(*keys).cogroup(copies.repartition(tasks, *keys).groupBy(*keys)).applyInArrow(_search_shard(k, beam), FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
