@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: list[str] = []
+_CREATED: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, kind: str) -> str:
     """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/corpusmill-{kind}-{uuid.uuid4().hex}"
+    _CREATED.append(f"{shared_dir(spark)}/corpusmill-{kind}-{uuid.uuid4().hex}")
+    return _CREATED[-1]
 
 
 def staged(frame: DataFrame, kind: str = "stage") -> DataFrame:
@@ -42,7 +44,16 @@ def staged(frame: DataFrame, kind: str = "stage") -> DataFrame:
 
 def drop_staged(frame: DataFrame) -> None:
     """Delete the files of a staged table that no later plan reads."""
-    spark = frame.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+    _delete(frame.sparkSession, {f.rsplit("/", 1)[0] for f in frame.inputFiles()})
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete all that this process has staged, archives and packs too. Call it when every result that is needed has been written."""
+    _delete(spark, set(_CREATED))
+    _CREATED.clear()
+
+
+def _delete(spark: SparkSession, paths: set[str]) -> None:
+    for path in paths:
         hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
