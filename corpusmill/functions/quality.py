@@ -39,19 +39,22 @@ def _ladder(value: Column, steps: tuple[tuple[float, float], ...]) -> Column:
 
 def text_score(text: Column) -> Column:
     n = F.length(text)
-    n_words = F.size(words(text))
-    alpha = share(text, r"\p{L}")
-    control = F.length(F.regexp_replace(text, r"[^\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
-    score = F.lit(1.0) - F.when(n_words < 50, 0.3).otherwise(0.0) - F.when(alpha < 0.3, 0.3).when(alpha < 0.5, 0.1).otherwise(0.0)
-    score = score - F.when(control > 0, F.least(F.lit(0.3), control / n * 10)).otherwise(0.0)
-    return F.when(n_words < 10, 0.1).otherwise(F.greatest(F.lit(0.0), score))
+    alpha = let(share(text, r"\p{L}"), lambda a: F.when(a < 0.3, 0.3).when(a < 0.5, 0.1).otherwise(0.0))
+    control = let(F.length(F.regexp_replace(text, r"[^\x00-\x08\x0B\x0C\x0E-\x1F]", "")), lambda c: F.when(c > 0, F.least(F.lit(0.3), c / n * 10)).otherwise(0.0))
+
+    def score(n_words: Column) -> Column:
+        own = F.lit(1.0) - F.when(n_words < 50, 0.3).otherwise(0.0) - alpha - control
+        return F.when(n_words < 10, 0.1).otherwise(F.greatest(F.lit(0.0), own))
+
+    return let(F.size(words(text)), score)
 
 
 def ocr_score(text: Column) -> Column:
     per_thousand = F.length(text) / 1000
     errors = count_matches(text, OCR_PATTERNS) / per_thousand
     gibberish = count_matches(text, [f"(?i){p}" for p in GIBBERISH_PATTERNS]) / per_thousand
-    return F.greatest(F.lit(0.0), 1.0 - _ladder(errors, ((10, 0.5), (5, 0.3), (2, 0.1))) - _ladder(gibberish, ((5, 0.3), (2, 0.15))))
+    penalty = let(errors, lambda e: _ladder(e, ((10, 0.5), (5, 0.3), (2, 0.1))))
+    return F.greatest(F.lit(0.0), 1.0 - penalty - let(gibberish, lambda g: _ladder(g, ((5, 0.3), (2, 0.15)))))
 
 
 def format_score(text: Column) -> Column:
@@ -71,7 +74,7 @@ def format_score(text: Column) -> Column:
 
 def structure_score(text: Column) -> Column:
     n = count_matches(text, [f"(?m){p}" for p in STRUCTURE_PATTERNS])
-    return F.when(n > 20, 1.0).when(n > 10, 0.85).when(n > 5, 0.7).when(n > 0, 0.6).otherwise(0.5)
+    return let(n, lambda k: F.when(k > 20, 1.0).when(k > 10, 0.85).when(k > 5, 0.7).when(k > 0, 0.6).otherwise(0.5))
 
 
 def coherence_score(text: Column) -> Column:
@@ -81,8 +84,8 @@ def coherence_score(text: Column) -> Column:
         n = F.size(own)
         mean = F.aggregate(own, F.lit(0).cast("long"), lambda s, w: s + F.length(w)) / n
         unique = F.size(F.array_distinct(own)) / n
-        out = 1.0 - F.when((mean < 2) | (mean > 12), 0.3).when((mean < 3) | (mean > 8), 0.1).otherwise(0.0)
-        out = out - F.when(unique < 0.1, 0.3).when((unique > 0.95) & (n > 500), 0.1).otherwise(0.0)
+        out = 1.0 - let(mean, lambda m: F.when((m < 2) | (m > 12), 0.3).when((m < 3) | (m > 8), 0.1).otherwise(0.0))
+        out = out - let(unique, lambda u: F.when(u < 0.1, 0.3).when((u > 0.95) & (n > 500), 0.1).otherwise(0.0))
         out = out - F.when(F.size(F.filter(own, lambda w: F.array_contains(common, w))) / n < 0.01, 0.2).otherwise(0.0)
         return F.when(n < 20, 0.5).otherwise(F.greatest(F.lit(0.0), out))
 

@@ -44,14 +44,16 @@ def packed(parts: Column, most: int = WORDS, joiner: str = "\n\n", offset: Colum
     """
 
     def of(own: Column) -> Column:
-        counts = F.transform(own, lambda p: F.size(words(p)))
         zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("first"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
 
-        def step(s: Column, i: Column) -> Column:
-            full = (s.n + counts[i] > most) & (i > s.first)
-            return F.struct(F.when(full, counts[i]).otherwise(s.n + counts[i]).alias("n"), F.when(full, i).otherwise(s.first).alias("first"), F.when(full, F.concat(s.out, F.array(F.struct(s.first.alias("a"), i.alias("b"))))).otherwise(s.out).alias("out"))
+        def fold(counts: Column) -> Column:
+            def step(s: Column, i: Column) -> Column:
+                full = (s.n + counts[i] > most) & (i > s.first)
+                return F.struct(F.when(full, counts[i]).otherwise(s.n + counts[i]).alias("n"), F.when(full, i).otherwise(s.first).alias("first"), F.when(full, F.concat(s.out, F.array(F.struct(s.first.alias("a"), i.alias("b"))))).otherwise(s.out).alias("out"))
 
-        folded = F.aggregate(F.sequence(F.lit(0), F.size(own) - 1), zero, step, lambda s: F.concat(s.out, F.array(F.struct(s.first.alias("a"), F.size(own).alias("b")))))
+            return F.aggregate(F.sequence(F.lit(0), F.size(own) - 1), zero, step, lambda s: F.concat(s.out, F.array(F.struct(s.first.alias("a"), F.size(own).alias("b")))))
+
+        folded = let(F.transform(own, lambda p: F.size(words(p))), fold)  # counted once, not at every step
         texts = F.transform(folded, lambda r: F.array_join(F.slice(own, r.a + 1, r.b - r.a), joiner))
         gap = len(joiner)
         begin = F.lit(offset) if isinstance(offset, int) else offset
