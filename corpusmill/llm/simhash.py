@@ -247,8 +247,10 @@ def group(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc
 WIDE, BANDS, ROWS = 64 * WIDE_WORDS, 16, 4
 #: Members of a key that one task compares; larger keys are dealt into a grid of pairs of blocks.
 CELL = 4096
-#: Keys of at most this many members give every near pair, larger ones the links of a minimum spanning forest.
-FEW = 12
+#: Pairs that a key gives at once after its forest, for each member; keys of fewer than FEW members count as FEW. The factor grows by GROWTH each round.
+PAIRS, FEW, GROWTH = 8, 16, 4
+#: A distance no pair has.
+TOO_FAR = WIDE + 1
 #: The distance alone decides only about sets whose sizes are this close, as it follows the cosine.
 EVEN = 0.95
 
@@ -308,43 +310,97 @@ def radii(similarity: float, bits: int = WIDE) -> tuple[int, int]:
     return max(0, int(bits * p - spread)), min(bits - 1, int(bits * p + spread) + 1)
 
 
-def spanning_links(members: list[int], far: int, bits: int) -> list[tuple[int, int, int]]:
-    """(position, position, distance): all pairs within far if they are few, else a forest that prefers near pairs."""
-    if len(members) <= FEW:
-        found = ((i, j, (members[i] ^ members[j]).bit_count()) for i in range(len(members)) for j in range(i + 1, len(members)))
-        return [x for x in found if x[2] <= far]
-    parent = list(range(len(members)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    links = []
-    for radius in sorted({far * i // 6 for i in range(1, 7)}):
-        for i, j in forest(members, radius, bits):
-            a, b = root(i), root(j)
-            if a != b:
-                parent[a] = b
-                links.append((i, j, (members[i] ^ members[j]).bit_count()))
+def _masks(prints: np.ndarray, sizes: np.ndarray, i: int, rest: np.ndarray, far: int, similarity: float) -> np.ndarray:
+    """Distances of member i to the members in rest; TOO_FAR where the pair isn't a candidate."""
+    d = np.bitwise_count(prints[rest] ^ prints[i]).sum(1, dtype=np.int32)
+    return np.where(d <= far, d, TOO_FAR)
+
+
+def spanning_links(prints: np.ndarray, sizes: np.ndarray, far: int, similarity: float) -> list[tuple[int, int, int]]:
+    """(position, position, distance): a minimum spanning forest of the candidate pairs."""
+    rest, links = np.arange(1, len(prints)), []
+    now, best, via = 0, np.full(len(rest), TOO_FAR, np.int32), np.zeros(len(rest), np.int64)
+    while len(rest):
+        d = _masks(prints, sizes, now, rest, far, similarity)
+        closer = d < best
+        best, via = np.where(closer, d, best), np.where(closer, now, via)
+        k = int(best.argmin())
+        now = int(rest[k])
+        if best[k] < TOO_FAR:
+            links.append((int(via[k]), now, int(best[k])))
+        rest, best, via = (np.delete(x, k) for x in (rest, best, via))
     return links
 
 
-def _near_links(near: int, far: int):
+def crossing_pairs(prints: np.ndarray, sizes: np.ndarray, roots: np.ndarray, far: int, similarity: float, after: int, most: int) -> tuple[np.ndarray, bool]:
+    """(codes, rest): the nearest `most` candidate pairs of different roots behind the code `after`, and whether there are more.
+
+    A pair's code is (distance * n + position) * n + position, n members, the smaller position first.
+    """
+    n = len(prints)
+    level = np.zeros(WIDE + 1, np.int64)
+
+    def codes(i: int) -> np.ndarray:
+        rest = np.flatnonzero(roots[i + 1 :] != roots[i]) + i + 1
+        d = _masks(prints, sizes, i, rest, far, similarity).astype(np.int64)
+        found = (d * n + i) * n + rest
+        return found[(d < TOO_FAR) & (found > after)]
+
+    for i in range(n - 1):
+        level += np.bincount(codes(i) // (n * n), minlength=WIDE + 1)
+    total = int(level.sum())
+    ends = np.cumsum(level)
+    last = int(np.searchsorted(ends, min(most, total))) if total else 0  # the level that fills up
+    room, out = min(most, total) - (int(ends[last - 1]) if last else 0), []
+    for i in range(n - 1 if total else 0):
+        own = codes(i)
+        full = own[own // (n * n) < last]
+        part = own[own // (n * n) == last][:room]
+        room -= len(part)
+        out += [full, part]
+    return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64), total > most
+
+
+def _members(tids: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(fps), "<u8").reshape(len(tids), WIDE // 64 + 1)
+    return raw[:, :-1], raw[:, -1].astype(np.int64)
+
+
+LINKS = "cell long, u binary, v binary, bits int, after long"
+
+
+def _near_links(near: int, far: int, similarity: float, first: bool, factor: int):
+    """Links (cell, u, v, bits) of the cells, `first` those of a forest, then what still parts components; a row without u for a cell that has more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, tids, fps in _runs(["cell", "tid", "fp"])(batches):
+        for columns in _runs(["cell", "tid", "fp"] if first else ["cell", "tid", "fp", "root", "after"])(batches):
+            keys, tids, fps = columns[:3]
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-            out: dict[tuple[bytes, bytes], int] = {}
-            for i in np.flatnonzero(np.diff(starts) > 1).tolist():
-                own = {bytes(t): (int.from_bytes(f[: WIDE // 8], "little"), int.from_bytes(f[WIDE // 8 :], "little")) for t, f in zip(tids[starts[i] : starts[i + 1]], fps[starts[i] : starts[i + 1]], strict=True)}
-                names = list(own)
-                for x, y, d in spanning_links([v[0] for v in own.values()], far, WIDE):
-                    a, b = sorted((names[x], names[y]))
-                    sizes = sorted((own[a][1], own[b][1]))
-                    out[a, b] = d if sizes[0] >= EVEN * sizes[1] else max(d, near + 1)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.binary()), pa.array([k[1] for k in out], pa.binary()), pa.array(list(out.values()), pa.int32())], names=["u", "v", "bits"])
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for at in np.flatnonzero(np.diff(starts) > 1).tolist():
+                a, b = int(starts[at]), int(starts[at + 1])
+                own = [a, *(i for i in range(a + 1, b) if tids[i] != tids[i - 1])]  # two bands may give one key
+                n, names = len(own), [tids[i] for i in own]
+                if n < 2:
+                    continue
+                prints, sizes = _members(tids[own], fps[own])
+                if first:
+                    pairs = spanning_links(prints, sizes, far, similarity)
+                else:
+                    _, roots = np.unique(columns[3][own], return_inverse=True)
+                    codes, more = crossing_pairs(prints, sizes, roots, far, similarity, int(columns[4][a]), factor * max(n, FEW))
+                    pairs = [(int(c) // n % n, int(c) % n, int(c) // (n * n)) for c in codes]
+                    if more:
+                        for column, x in zip(out, (int(keys[a]), None, None, None, int(codes[-1])), strict=True):
+                            column.append(x)
+                for x, y, d in pairs:
+                    least, most = sorted((int(sizes[x]), int(sizes[y])))
+                    u, v = sorted((names[x], names[y]))
+                    for column, z in zip(out, (int(keys[a]), u, v, d if least >= EVEN * most else max(d, near + 1), None), strict=True):
+                        column.append(z)
+            if out[0]:
+                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["cell", "u", "v", "bits", "after"])
 
     return run
 
@@ -367,8 +423,11 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text
 
     Two different texts are linked if their sets of word shingles have a Jaccard similarity of `similarity` or more.
     Texts meet if they agree in a band of least hashes (anchors); what meets is compared by bit-sliced distances of wide
-    SimHashes; pairs that the distance alone can't decide are held against their whole texts. At the similarity asked
-    for, a pair meets with probability 1 - (1 - s^4)^16 (0.9998 at 0.8). Texts without words are linked to nothing.
+    SimHashes; pairs that the distance alone can't decide are held against their whole texts. Each key first gives the
+    links of a minimum spanning forest; where one of them is rejected, the key gives the pairs that part components after
+    that, nearest first, until no pair within reach of the distance is left unchecked between two of them. At the
+    similarity asked for, a pair meets with probability 1 - (1 - s^4)^16 (0.9998 at 0.8). Texts without words are linked
+    to nothing.
     """
     near, far = radii(similarity)
     texts = docs.select(F.unhex(F.md5(F.col(text_col).cast("string"))).alias("tid"), F.col(text_col).cast("string").alias("text")).where("tid is not null")
@@ -379,14 +438,36 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))).select(
         F.when(F.col("k").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("cell"), "tid", "fp"
     )
-    links_ = staged(cells.repartition("cell").sortWithinPartitions("cell", "tid").mapInArrow(_near_links(near, far), "u binary, v binary, bits int").groupBy("u", "v").agg(F.min("bits").alias("bits")), "links")
-    sure = links_.where(F.col("bits") <= near).select("u", "v")
-    doubtful = links_.where(F.col("bits") > near).select("u", "v")
+    labels, after, factor = None, None, PAIRS
+    while True:
+        rows = cells
+        if labels is not None:
+            # Only keys that may still hold an unchecked pair between two components.
+            known = labels.select(F.col("node").alias("of"), "root")
+            rows = cells.join(after, F.col("cell") == F.col("open_cell")).join(known, F.col("tid") == F.col("of"), "left").select("cell", "tid", "fp", F.coalesce("root", "tid").alias("root"), "after")
+        found = staged(rows.repartition("cell").sortWithinPartitions("cell", "tid").mapInArrow(_near_links(near, far, similarity, labels is None, factor), LINKS), "links")
+        pairs = found.where("u is not null").groupBy("u", "v").agg(F.min("bits").alias("bits"))
+        accepted = staged(pairs.where(F.col("bits") <= near).select("u", "v").unionAll(_checked(texts, pairs.where(F.col("bits") > near), shingle, similarity)), "accepted")
+        if labels is None:
+            # A forest without a rejected link joins all that its key could join.
+            held = accepted.select(F.col("u").alias("au"), F.col("v").alias("av"))
+            after = found.join(held, (F.col("u") == F.col("au")) & (F.col("v") == F.col("av")), "left_anti").select(F.col("cell").alias("open_cell")).distinct().withColumn("after", F.lit(-1).cast("long"))
+            labels = staged(components(accepted), "labels")
+        else:
+            after, factor = found.where("u is null").select(F.col("cell").alias("open_cell"), "after"), factor * GROWTH
+            if not accepted.isEmpty():
+                labels = staged(components(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(accepted)), "labels")
+        after = staged(after, "open")
+        if after.isEmpty():
+            return labels.select(F.col("node").alias("tid"), "root")
+
+
+def _checked(texts: DataFrame, doubtful: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose whole texts are alike enough."""
     ends = doubtful.select(F.col("u").alias("end")).unionAll(doubtful.select("v")).distinct()
     whole = staged(texts.join(ends.hint("merge"), F.col("tid") == F.col("end"), "left_semi").dropDuplicates(["tid"]), "whole")
     pairs = doubtful.join(whole.select(F.col("tid").alias("ut"), F.col("text").alias("u_text")), F.col("u") == F.col("ut")).join(whole.select(F.col("tid").alias("vt"), F.col("text").alias("v_text")), F.col("v") == F.col("vt"))
-    checked = pairs.select("u", "v", "u_text", "v_text").mapInArrow(_verify(shingle, similarity), "u binary, v binary")
-    return components(sure.unionAll(checked)).select(F.col("node").alias("tid"), "root")
+    return pairs.select("u", "v", "u_text", "v_text").mapInArrow(_verify(shingle, similarity), "u binary, v binary")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -117,3 +117,19 @@ def test_a_large_group_is_dealt_into_cells(spark, monkeypatch, prose):
     base = prose(1, words=300)[0].split()
     texts = [" ".join([*base[:i], f"other{i}", *base[i + 1 :]]) for i in range(60)]
     assert simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == 1
+
+
+def test_a_rejected_link_is_replaced(spark, prose):
+    """A family of many variants whose similarities lie on both sides of 0.8, where forests of distances hold links that are rejected."""
+    rng, base = random.Random(7), prose(1, seed=4, words=600)[0].split()[:300]
+    texts = []
+    for _ in range(100):
+        words = list(base)
+        for i in rng.sample(range(len(words)), rng.randint(3, 5)):
+            words[i] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8]
+    want = set(classes(near, range(len(texts))).values())
+    assert 1 < len(want) < len(texts)
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == want
