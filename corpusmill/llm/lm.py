@@ -3,13 +3,14 @@
 Tokens are the lower-cased words between ASCII white space, hashed to `BUCKETS` identities; the last CLASS_BITS bits of an
 identity are its class. A network looks at the two tokens before and the two behind a place (positions beyond the text
 are a blank class of their own), adds up one embedding for each of the four places, and gives the class that stands
-there through a hidden layer and a softmax; within the class an identity has its share of the corpus. The sum of
-log p(token | both sides) over all places of a whole text is its pseudo-log-likelihood.
+there through a hidden layer and a softmax; within the class an identity has its share of the corpus, and within the
+identity a word has its own, from a table of all words of the corpus (64-bit names) that is joined to the words of each
+block of texts. The sum of log p(token | both sides) over all places of a whole text is its pseudo-log-likelihood.
 
 Training is data-parallel over the whole corpus: every task runs plain numpy gradient steps over all texts of its
 split, from the same start, and returns its parameters weighted by its tokens, and its identity counts. Spark sums
-them by parameter; the weighted mean is the model. What is gathered grows with the number of splits, while what comes
-to the driver and goes out again is the model alone, whose size is fixed.
+them by parameter; the weighted mean is the model. The table of words grows with the corpus and stays in Spark; what
+comes to the driver and goes out again is the network and the identities' counts alone, whose size is fixed.
 
 A null, empty or blank text has 0 tokens and score 0. With no tokens at all the network is the untrained start.
 """
@@ -24,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 BUCKETS = 1 << 15
 CLASS_BITS = 6
 CLASSES = 1 << CLASS_BITS
@@ -39,16 +42,24 @@ SCORED = "doc_id long, n_tokens long, score double, mean_score double"
 
 def identities(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(ids, borders): identities of the words of all texts, one after the other, and where each text begins and ends."""
-    from xxhash import xxh32_intdigest
+    ids, _, borders = named(texts)
+    return ids, borders
+
+
+def named(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, words, borders): identities and names (XXH64) of the words of all texts, and where each text begins and ends."""
+    from xxhash import xxh32_intdigest, xxh64_intdigest
 
     lower = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     split = pc.ascii_split_whitespace(lower)
     coded = split.flatten().dictionary_encode()
     names = coded.dictionary.cast(pa.large_binary()).to_pylist()
     known = np.fromiter((xxh32_intdigest(w, SEED) & (BUCKETS - 1) if w else -1 for w in names), np.int32, len(names))
-    ids, borders = known[coded.indices.to_numpy()], split.offsets.to_numpy()
+    words = np.fromiter((xxh64_intdigest(w, SEED) for w in names), np.uint64, len(names)).view(np.int64)
+    at, borders = coded.indices.to_numpy(), split.offsets.to_numpy()
+    ids = known[at]
     full = ids >= 0  # white space at an end gives an empty word
-    return ids[full], np.concatenate([[0], np.cumsum(full)])[borders]
+    return ids[full], words[at[full]], np.concatenate([[0], np.cumsum(full)])[borders]
 
 
 def windows(ids: np.ndarray, borders: np.ndarray) -> np.ndarray:
@@ -153,10 +164,20 @@ class Model:
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For every text its tokens, and the sum of log p(token | both sides) over all of its places."""
         ids, borders = identities(texts)
+        return self._sums(ids, borders, None)
+
+    def word_scores(self, texts: pa.Array, words: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As scores(), with every word's log share of its identity; words: the names of all words of the texts, sorted."""
+        ids, own, borders = named(texts)
+        return self._sums(ids, borders, shares[np.searchsorted(words, own)] if len(own) else None)
+
+    def _sums(self, ids: np.ndarray, borders: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         around, each = windows(ids, borders), np.zeros(len(ids) + 1)
         for at in range(0, len(ids), STEP):
             own = ids[at : at + STEP]
             each[at + 1 : at + 1 + len(own)] = self.net.log_p(around[at : at + STEP], own & (CLASSES - 1)) + self.inside[own]
+        if more is not None:
+            each[1:] += more
         sums = np.cumsum(each)
         return np.diff(borders), np.diff(sums[borders])
 
@@ -171,19 +192,53 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     return Model(total[1 : 1 + size] / total[0] if total[0] else None, total[1 + size :])
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with the name of the block, a stretch of bounded size, that they are scored in."""
+    from uuid import uuid4
+
+    for batch in batches:
+        at = 0
+        for part in parts(batch.column(1)):
+            names = pa.array([uuid4().bytes] * len(part), pa.binary())
+            yield pa.RecordBatch.from_arrays([names, batch.column(0).slice(at, len(part)), part], names=["block", "doc_id", "text"])
+            at += len(part)
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, word, id, n): how often each word occurs in a stretch of a block."""
+    for batch in batches:
+        blocks = batch.column(0).dictionary_encode()
+        for i, block in enumerate(blocks.dictionary):
+            ids, words, _ = named(batch.column(2).filter(pc.equal(blocks.indices, i)))
+            own, first, n = np.unique(words, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * len(own), pa.binary()), pa.array(own), pa.array(ids[first]), pa.array(n)], names=["block", "word", "id", "n"])
+
+
 def _score(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
-        for batch in batches:
-            found = [own.scores(part) for part in parts(batch.column(1))]
-            counts, sums = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0))
-            means = np.divide(sums, counts, out=np.zeros(len(sums)), where=counts > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], names=["doc_id", "n_tokens", "score", "mean_score"])
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        own, order = model.value, np.argsort(words.column("word").to_numpy())
+        names, shares = words.column("word").to_numpy()[order], words.column("share").to_numpy()[order]
+        whole = texts.combine_chunks().to_batches()
+        found = [own.word_scores(part, names, shares) for batch in whole for part in parts(batch.column("text"))]
+        counts, sums = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0))
+        means = np.divide(sums, counts, out=np.zeros(len(sums)), where=counts > 0)
+        return pa.table([texts.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], names=["doc_id", "n_tokens", "score", "mean_score"])
 
     return run
 
 
+def word_shares(words: DataFrame) -> DataFrame:
+    """(block, word, share): the log of each word's share of its identity over all blocks, half a token added to each word."""
+    table = staged(words.groupBy("word", "id").agg(F.sum("n").alias("n")), "words")
+    wholes = table.groupBy(F.col("id").alias("of")).agg(F.sum(F.col("n") + 0.5).alias("whole"))  # BUCKETS rows at most
+    shares = table.join(F.broadcast(wholes), F.col("id") == F.col("of")).select(F.col("word").alias("name"), F.log((F.col("n") + 0.5) / F.col("whole")).alias("share"))
+    return words.select("block", "word").distinct().join(shares.hint("merge"), F.col("word") == F.col("name")).select("block", "word", "share")
+
+
 def score(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: its tokens, the sum of their conditional log-probabilities, and their mean."""
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs, text_col))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_score(shared), SCORED)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    blocks = staged(rows.mapInArrow(_blocks, "block binary, doc_id long, text string"), "blocks")
+    words = staged(blocks.mapInArrow(_words, "block binary, word long, id int, n long"), "block_words")
+    return blocks.groupBy("block").cogroup(word_shares(words).groupBy("block")).applyInArrow(_score(shared), SCORED)

@@ -75,3 +75,18 @@ def test_odd_rows(odd, none):
     assert [got[i].n_tokens for i in (2, 3, 4)] == [0, 0, 0] and got[2].score == 0.0 and got[8].n_tokens == 30_000
     assert got[1].score == pytest.approx(got[6].score, rel=1e-5) and got[1].score < 0
     assert lm.score(none).count() == 0
+
+
+def test_words_of_one_identity_have_their_own_share(spark):
+    """A word that never recurs scores below a frequent one, though the network takes both for the same."""
+    import xxhash
+
+    same: dict = {}
+    for w in (f"w{i}" for i in range(10**6)):
+        x = xxhash.xxh32_intdigest(w, lm.SEED) & (lm.BUCKETS - 1)
+        if x in same:
+            break
+        same[x] = w
+    docs = [(i, same[x]) for i in range(50)] + [(100, w)]
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert len(got) == 51 and got[0] == pytest.approx(got[49]) and got[0] - got[100] == pytest.approx(np.log(50.5 / 1.5), rel=1e-6)
