@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 BUCKETS = 1 << 15
-CLASS_BITS = 6
+CLASS_BITS = 7
 CLASSES = 1 << CLASS_BITS
 WIDTH = 16
 PLACES = (-2, -1, 1, 2)
