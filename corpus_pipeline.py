@@ -16,8 +16,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without their source's boilerplate lines; n_chars follows the text."""
-    clean = line_dedup.drop_boilerplate(docs)
+    """The documents without their source's boilerplate lines, copies of a text counted once; n_chars follows the text."""
+    clean = line_dedup.drop_boilerplate(docs, once=True)
     return clean.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 

@@ -10,6 +10,7 @@ small array; pages get their host's array by a join that broadcasts only if the
 sort-merge join that adaptive execution may split at hot hosts otherwise.
 
 Null hosts are a host of their own. A null text stays null and counts as a page without lines. Line ends are "\\n".
+With `once`, pages of a host with the same text count as one page, so copies don't make their own lines boilerplate.
 A page that consists of boilerplate alone stays, with an empty text. All columns stay, extra columns too.
 """
 
@@ -32,10 +33,13 @@ def _hashes(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.hash(line).alias("b"))
 
 
-def boilerplate(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, host_col: str = "source", text_col: str = "text") -> DataFrame:
+def boilerplate(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, host_col: str = "source", text_col: str = "text", once: bool = False) -> DataFrame:
     """(host, lines): the hashes of every host's boilerplate lines; hosts without any are left out."""
     pages = docs.select(F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
     lines = F.array_distinct(F.transform(F.filter(F.transform(F.split("text", "\n"), _trimmed), lambda x: x != ""), _hashes))
+    if once:
+        pages = pages.select("host", F.md5("text").alias("digest"), lines.alias("own")).dropDuplicates(["host", "digest"])
+        lines = F.col("own")
     # One row a page without line hashes counts the page itself, so pages and lines are counted by one aggregation.
     rows = pages.select("host", F.explode(F.concat(F.array(F.lit(None).cast("struct<a:bigint,b:int>")), F.coalesce(lines, F.array().cast("array<struct<a:bigint,b:int>>")))).alias("line"))
     counts = rows.groupBy("host", "line.a", "line.b").agg(F.count("*").alias("n")).where(f"a is null or n >= {least_pages}")
@@ -45,9 +49,9 @@ def boilerplate(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_
     return found.groupBy("host").agg(F.collect_set(F.struct("a", "b")).alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, host_col: str = "source", text_col: str = "text") -> DataFrame:
+def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, host_col: str = "source", text_col: str = "text", once: bool = False) -> DataFrame:
     """docs with boilerplate lines taken out of the text, and the columns lines_kept and lines_dropped behind the others."""
-    named = staged(boilerplate(docs, ratio, least_pages, host_col, text_col), "boilerplate").select(F.col("host").alias("__cm_host"), F.col("lines").alias("__cm_lines"))
+    named = staged(boilerplate(docs, ratio, least_pages, host_col, text_col, once), "boilerplate").select(F.col("host").alias("__cm_host"), F.col("lines").alias("__cm_lines"))
     text = F.col(text_col)
     joined = docs.join(named, F.col(host_col).cast("string").eqNullSafe(F.col("__cm_host")), "left")
     split = F.split(text, "\n")

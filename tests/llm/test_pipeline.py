@@ -41,3 +41,12 @@ def test_sql_gives_the_same(spark, name):
     got = __spark_entry__.queries()[name](spark, DATA)
     order = lambda rows: sorted(map(repr, rows))
     assert order(tuple(r[c] for c in want.columns) for r in got.collect()) == order(want.fetchall())
+
+
+def test_a_group_of_copies_keeps_its_content(spark, prose):
+    """Line dedup mustn't take copies for boilerplate: near-dedup after it keeps one of them, whole."""
+    own, others = "a text that occurs in many copies\nand has lines of its own", prose(60, words=20)
+    rows = [(i, own if i % 3 == 0 else others[i % 60] + "\nmenu", "en", "h", 9) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clean = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, docs, DATA).collect()}
+    assert clean[0] == own and clean[1] == others[1]
