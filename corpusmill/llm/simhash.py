@@ -249,6 +249,8 @@ WIDE, BANDS, ROWS = 64 * WIDE_WORDS, 16, 4
 CELL = 4096
 #: Pairs that a key gives at once after its forest, for each member; keys of fewer than FEW members count as FEW. The factor grows by GROWTH each round.
 PAIRS, FEW, GROWTH = 8, 16, 4
+#: Of sets with fewer shingles the distance says little: all pairs that their sizes allow are held against their texts.
+SMALL = 64
 #: A distance no pair has.
 TOO_FAR = WIDE + 1
 #: The distance alone decides only about sets whose sizes are this close, as it follows the cosine.
@@ -313,7 +315,9 @@ def radii(similarity: float, bits: int = WIDE) -> tuple[int, int]:
 def _masks(prints: np.ndarray, sizes: np.ndarray, i: int, rest: np.ndarray, far: int, similarity: float) -> np.ndarray:
     """Distances of member i to the members in rest; TOO_FAR where the pair isn't a candidate."""
     d = np.bitwise_count(prints[rest] ^ prints[i]).sum(1, dtype=np.int32)
-    return np.where(d <= far, d, TOO_FAR)
+    least = np.minimum(sizes[rest], sizes[i])
+    within = (d <= far) | (least < SMALL)
+    return np.where(within & (least * (1 + 1e-9) >= similarity * np.maximum(sizes[rest], sizes[i])), d, TOO_FAR)
 
 
 def spanning_links(prints: np.ndarray, sizes: np.ndarray, far: int, similarity: float) -> list[tuple[int, int, int]]:
@@ -396,7 +400,7 @@ def _near_links(near: int, far: int, similarity: float, first: bool, factor: int
                 for x, y, d in pairs:
                     least, most = sorted((int(sizes[x]), int(sizes[y])))
                     u, v = sorted((names[x], names[y]))
-                    for column, z in zip(out, (int(keys[a]), u, v, d if least >= EVEN * most else max(d, near + 1), None), strict=True):
+                    for column, z in zip(out, (int(keys[a]), u, v, d if least >= max(SMALL, EVEN * most) else max(d, near + 1), None), strict=True):
                         column.append(z)
             if out[0]:
                 kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64())

@@ -133,3 +133,15 @@ def test_a_rejected_link_is_replaced(spark, prose):
     assert 1 < len(want) < len(texts)
     kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert kept == want
+
+
+def test_small_sets_are_not_given_up_by_distance():
+    """A text of 8 words and the same text with one more are 0.8 alike, whatever their distance."""
+    import numpy as np
+
+    rng, (near, far) = np.random.default_rng(0), simhash.radii(0.8)
+    for _ in range(300):
+        text = " ".join(f"w{i}" for i in rng.integers(0, 10**6, 8))
+        batch = next(simhash._features(5)(iter([simhash.pa.RecordBatch.from_arrays([simhash.pa.array([b"a", b"b"]), simhash.pa.array([text, text + " more"])], names=["tid", "text"])])))
+        prints, sizes = simhash._members(*(np.array(batch.column(i).to_pylist(), object) for i in (0, 1)))
+        assert sizes.tolist() == [4, 5] and len(simhash.spanning_links(prints, sizes, far, 0.8)) == 1
