@@ -152,12 +152,12 @@ def _keep(model, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:
-            yield batch.filter(pa.array([own.predict(t.as_py())[0] != UNKNOWN for t in batch.column(text_at)], pa.bool_()))
+            yield batch.filter(pa.array([own.predict(t.as_py())[0] != UNKNOWN if own.langs else has_letter(t.as_py()) for t in batch.column(text_at)], pa.bool_()))
 
     return run
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose text has a language: "und" rows go."""
+    """The rows of docs, all columns as they are, whose text has a language: "und" rows go. With nothing to learn from, texts with a letter stay."""
     model = train(docs.where(~held_out(F.col(id_col))), lang_col=lang_col, text_col=text_col)
     return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)), docs.schema)

@@ -68,3 +68,8 @@ def test_ngrams_over_spans(monkeypatch):
     whole = [x.tolist() for x in langid.ngrams(text)]
     monkeypatch.setattr(langid, "SPAN", 37)
     assert [x.tolist() for x in langid.ngrams(text)] == whole
+
+
+def test_without_labels_texts_with_letters_are_kept(spark):
+    docs = spark.createDataFrame([(1, "words", None), (2, "...", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in langid.keep_known(docs).collect()] == [1]
