@@ -218,7 +218,7 @@ def _search_shard(k: int, beam: int):
             lists = np.split(np.frombuffer(row["ids"], "<i8"), ends[:-1])
             own = _matrix(queries.column("vec"), row["dim"])
             for i, (query, nodes) in enumerate(zip(queries.column("query_id").to_pylist(), search(vectors, layers, own, beam), strict=True)):
-                nodes = nodes[nodes >= 0][: 4 * (k + 1)]
+                nodes = nodes[nodes >= 0]
                 scores = cosine(vectors[nodes], own[i][None])
                 best = sorted((-s, x) for s, node in zip(scores.tolist(), nodes.tolist(), strict=True) for x in lists[node].tolist() if x != query)[:k]
                 for s, x in best:

@@ -48,3 +48,11 @@ def test_ties_nulls_and_repeats(spark):
 
 def test_fewer_candidates_than_asked_for(spark):
     assert [i for i, _ in run(spark, [(50, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])])[50]] == [1, 2]
+
+
+def test_equal_in_single_precision(spark):
+    """More vectors than a few that only double precision tells apart: the nearest and the smallest ids of ties are found."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=16)
+    vectors = [(0, base.tolist())] + [(i, (base + rng.normal(size=16) * 1e-5 * (61 - i)).tolist()) for i in range(1, 61) if i != 50]
+    assert [i for i, _ in run(spark, vectors)[0]] == [i for i, _ in truth(vectors, [0])[0]]
