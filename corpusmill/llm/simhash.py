@@ -31,9 +31,9 @@ from .components import components
 SEED = 42
 BLOCK = 4096
 CHUNK = 1 << 22
-WIDE_WORDS = 4
-#: Odd constants of a multiply-xorshift mixer, one a further 64 bits of a wide fingerprint.
-MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+WIDE_WORDS = 8
+#: The odd constant of a multiply-xorshift mixer.
+MIXER = 0x9E3779B97F4A7C15
 
 
 def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
@@ -60,11 +60,13 @@ def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
 
 
 def _ones(hashes: np.ndarray) -> np.ndarray:
-    """How many of the hashes have each bit, bit 0 first."""
-    total = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 14):
-        total += np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return total
+    """How many of the hashes have each bit, bit 0 first; for each column if there are several."""
+    lanes, total = np.uint64(0x0101010101010101), np.zeros((*hashes.shape[1:], 8, 8), np.int64)
+    starts = np.arange(0, len(hashes), 255)  # a byte counts up to 255
+    for k in range(8 if len(hashes) else 0):
+        counts = np.add.reduceat(hashes >> np.uint64(k) & lanes, starts, axis=0)
+        total[..., k] = counts.view(np.uint8).reshape(*counts.shape, 8).sum(0, dtype=np.int64)
+    return total.reshape(*hashes.shape[1:], 64)
 
 
 def _majority(ones: np.ndarray, n: int) -> int:
@@ -97,13 +99,14 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
 class Planes:
     """Members' fingerprints as bit planes, in blocks."""
 
-    def __init__(self, members: list[int], bits: int, block: int = BLOCK):
-        self.members, self.bits, self.block = members, bits, block
+    def __init__(self, members: list[int] | np.ndarray, bits: int, block: int = BLOCK):
+        """members: numbers, or rows of 64-bit words."""
         width = (bits + 7) // 8
         self.planes, self.full = [], []
         for at in range(0, len(members), block):
             part = members[at : at + block]
-            raw = np.frombuffer(b"".join(m.to_bytes(width, "little") for m in part), np.uint8).reshape(len(part), width)
+            raw = part.tobytes() if isinstance(part, np.ndarray) else b"".join(m.to_bytes(width, "little") for m in part)
+            raw = np.frombuffer(raw, np.uint8).reshape(len(part), width)
             rows = np.packbits(np.unpackbits(raw, axis=1, bitorder="little").T, axis=1, bitorder="little")
             self.planes.append([int.from_bytes(r.tobytes(), "little") for r in rows[:bits]])
             self.full.append((1 << len(part)) - 1)
@@ -245,57 +248,79 @@ def group(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc
 
 #: Bits of the wide fingerprint, bands of anchor keys, least hashes in a band.
 WIDE, BANDS, ROWS = 64 * WIDE_WORDS, 16, 4
-#: Members of a key that one task compares; larger keys are dealt into a grid of pairs of blocks.
-CELL = 4096
-#: Pairs that a key gives at once after its forest, for each member; keys of fewer than FEW members count as FEW. The factor grows by GROWTH each round.
-PAIRS, FEW, GROWTH = 8, 16, 4
-#: Of sets with fewer shingles the distance says little: all pairs that their sizes allow are held against their texts.
+#: Members of a key or of a candidate group that one task compares, and distinct shingles of them; larger ones are dealt into blocks.
+CELL, UNIT_SHINGLES = 4096, 1 << 22
+#: Times that a candidate group of several blocks is dealt anew before what is still parted meets across blocks.
+DEALS = 3
+#: Groups of up to so many members are compared pair by pair, many groups at once: a lane of the planes is a pair.
+LANES, LANE_BLOCK = 32, 1 << 15
+#: Of sets with fewer shingles the distance says little: all pairs that their sizes allow are candidates.
 SMALL = 64
-#: A distance no pair has.
-TOO_FAR = WIDE + 1
-#: The distance alone decides only about sets whose sizes are this close, as it follows the cosine.
-EVEN = 0.95
+#: Standard deviations that a pair at the similarity asked for may lie beyond its expected distance (3 in a million do).
+DEVIATIONS = 4.5
+#: Texts that a task remembers as done.
+REMEMBERED = 50_000
 
 
-def _spread(hashes: np.ndarray, odd: int) -> np.ndarray:
+def _spread(hashes: np.ndarray, odd) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = hashes * np.uint64(odd)
+        x = hashes * odd
         x ^= x >> np.uint64(29)
-        return x * np.uint64(0xBF58476D1CE4E5B9)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        return x
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     """The distinct shingle hashes of a whole text, sorted; none for a text without words."""
     parts = [np.unique(h) for h in shingle_hashes(text, shingle)]
+    if len(parts) == 1:
+        return parts[0]
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def _odds() -> list[int]:
-    """Multipliers of the anchor hashes, by a fixed rule."""
-    rng = np.random.default_rng(SEED)
-    return [int(x) | 1 for x in rng.integers(1, 1 << 63, BANDS * ROWS)]
+def _multipliers(n: int, seed: int) -> np.ndarray:
+    """Odd numbers by a fixed rule."""
+    return np.random.default_rng(seed).integers(1, 1 << 63, n).astype(np.uint64) | np.uint64(1)
+
+
+def wide_print(own: np.ndarray) -> np.ndarray:
+    """WIDE_WORDS words: the SimHash of a set of hashes, and of as many mixtures of them."""
+    odds, ones = _multipliers(WIDE_WORDS - 1, SEED + 1), np.zeros((WIDE_WORDS, 64), np.int64)
+    for i in range(0, len(own), 1 << 14):
+        part = own[i : i + (1 << 14), None]
+        ones += _ones(np.concatenate([part, _spread(part, odds)], axis=1))
+    return np.packbits(2 * ones > len(own), axis=1, bitorder="little").view("<u8").ravel()
+
+
+def anchors(own: np.ndarray) -> np.ndarray:
+    """A key for each band: its number and the least values of its mixtures of the set's hashes."""
+    odds, least = _multipliers(BANDS * ROWS, SEED)[:, None], np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(own), 1 << 12):
+        least = np.minimum(least, _spread(own[i : i + (1 << 12)], odds).min(1))
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for own_least in least.reshape(BANDS, ROWS).T:
+        keys = _spread(keys ^ own_least, np.uint64(MIXER))
+    return keys.view(np.int64)
 
 
 def _features(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odds = _odds()
+        seen: set[bytes] = set()
         for batch in batches:
-            tids, fps, keys = [], [], []
+            out: tuple[list, ...] = ([], [], [], [])
             for tid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = shingle_set(text.as_py(), shingle)
-                if not len(own):
+                if tid in seen:  # a copy; what is left over several tasks goes when the rows meet
                     continue
-                wide = 0
-                for i, odd in enumerate((None, *MIXERS)):
-                    wide |= _majority(_ones(own if odd is None else _spread(own, odd)), len(own)) << 64 * i
-                least = np.array([_spread(own, odd).min() for odd in odds], np.uint64).reshape(BANDS, ROWS)
-                mixed = np.arange(1, BANDS + 1, dtype=np.uint64)
-                for j in range(ROWS):
-                    mixed = _spread(mixed ^ least[:, j], MIXERS[0])
-                tids.append(tid)
-                fps.append(wide.to_bytes(WIDE // 8, "little") + len(own).to_bytes(8, "little"))
-                keys.append(mixed.view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(tids, pa.binary()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["tid", "fp", "keys"])
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(tid)
+                own = shingle_set(text.as_py(), shingle)
+                if len(own):
+                    row = (tid, wide_print(own).tobytes() + len(own).to_bytes(8, "little"), anchors(own), len(own))
+                    for column, x in zip(out, row, strict=True):
+                        column.append(x)
+            kinds = (pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["tid", "fp", "keys", "size"])
 
     return run
 
@@ -306,187 +331,258 @@ def flip_share(similarity: float) -> float:
 
 
 def radii(similarity: float, bits: int = WIDE) -> tuple[int, int]:
-    """(near, far): pairs within near surely reach the similarity, pairs beyond far surely don't; three deviations each."""
+    """(expected, farthest) distance of a pair at the similarity; beyond the farthest a pair surely doesn't reach it."""
     p = flip_share(similarity)
-    spread = 3 * (bits * p * (1 - p)) ** 0.5
-    return max(0, int(bits * p - spread)), min(bits - 1, int(bits * p + spread) + 1)
-
-
-def _masks(prints: np.ndarray, sizes: np.ndarray, i: int, rest: np.ndarray, far: int, similarity: float) -> np.ndarray:
-    """Distances of member i to the members in rest; TOO_FAR where the pair isn't a candidate."""
-    d = np.bitwise_count(prints[rest] ^ prints[i]).sum(1, dtype=np.int32)
-    least = np.minimum(sizes[rest], sizes[i])
-    within = (d <= far) | (least < SMALL)
-    return np.where(within & (least * (1 + 1e-9) >= similarity * np.maximum(sizes[rest], sizes[i])), d, TOO_FAR)
-
-
-def spanning_links(prints: np.ndarray, sizes: np.ndarray, far: int, similarity: float) -> list[tuple[int, int, int]]:
-    """(position, position, distance): a minimum spanning forest of the candidate pairs."""
-    rest, links = np.arange(1, len(prints)), []
-    now, best, via = 0, np.full(len(rest), TOO_FAR, np.int32), np.zeros(len(rest), np.int64)
-    while len(rest):
-        d = _masks(prints, sizes, now, rest, far, similarity)
-        closer = d < best
-        best, via = np.where(closer, d, best), np.where(closer, now, via)
-        k = int(best.argmin())
-        now = int(rest[k])
-        if best[k] < TOO_FAR:
-            links.append((int(via[k]), now, int(best[k])))
-        rest, best, via = (np.delete(x, k) for x in (rest, best, via))
-    return links
+    return int(bits * p), min(bits - 1, int(bits * p + DEVIATIONS * (bits * p * (1 - p)) ** 0.5) + 1)
 
 
-def crossing_pairs(prints: np.ndarray, sizes: np.ndarray, roots: np.ndarray, far: int, similarity: float, after: int, most: int) -> tuple[np.ndarray, bool]:
-    """(codes, rest): the nearest `most` candidate pairs of different roots behind the code `after`, and whether there are more.
+def _even(left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """The sizes allow the similarity."""
+    return np.minimum(left, right) * (1 + 1e-9) >= similarity * np.maximum(left, right)
 
-    A pair's code is (distance * n + position) * n + position, n members, the smaller position first.
-    """
+
+def _flags(masks: list[int], sizes: list[int]) -> np.ndarray:
+    """Masks of blocks as one array of truth values."""
+    raw = [np.unpackbits(np.frombuffer(m.to_bytes((n + 7) // 8, "little"), np.uint8), count=n, bitorder="little") for m, n in zip(masks, sizes, strict=True)]
+    return np.concatenate(raw).astype(bool)
+
+
+def _mask(flags: np.ndarray) -> int:
+    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+
+def pairs_within(prints: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, far: int, similarity: float) -> np.ndarray:
+    """Which pairs of positions are candidates, compared bit-sliced: a lane of the planes is a pair's differing bits."""
+    out, order = _even(sizes[left], sizes[right], similarity), list(range(WIDE))
+    doubt = np.flatnonzero(out & (np.minimum(sizes[left], sizes[right]) >= SMALL))
+    for at in range(0, len(doubt), LANE_BLOCK):
+        part = doubt[at : at + LANE_BLOCK]
+        planes = Planes(prints[left[part]] ^ prints[right[part]], WIDE, LANE_BLOCK)
+        out[part] = _flags(planes.near(0, far, planes.full, order), [len(part)])
+    return out
+
+
+class _Reach:
+    """Candidates of one member among many: the bit planes of all, and those whose sets are small."""
+
+    def __init__(self, prints: np.ndarray, sizes: np.ndarray, far: int, similarity: float):
+        self.prints, self.sizes, self.far, self.similarity = prints, sizes, far, similarity
+        self.planes, self.order = Planes(prints, WIDE), list(range(WIDE))
+        self.counts = [min(BLOCK, len(prints) - at) for at in range(0, len(prints), BLOCK)]
+        self.small = sizes < SMALL
+
+    def of(self, now: int, wanted: np.ndarray) -> np.ndarray:
+        """Positions of the candidates of member now where wanted is true."""
+        wanted = wanted & _even(self.sizes, self.sizes[now], self.similarity)
+        if not self.small[now] and wanted.any():
+            asked = wanted & ~self.small
+            masks = [_mask(asked[at : at + BLOCK]) for at in range(0, len(asked), BLOCK)]
+            query = int.from_bytes(self.prints[now].tobytes(), "little")
+            wanted = wanted & self.small | _flags(self.planes.near(query, self.far, masks, self.order), self.counts)
+        return np.flatnonzero(wanted)
+
+
+def _small_forest(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """The pairs that a union-find needs."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    out = []
+    for x, y in zip(left.tolist(), right.tolist(), strict=True):
+        a, b = root(x), root(y)
+        if a != b:
+            parent[b] = a
+            out.append((x, y))
+    return out
+
+
+def spanning_links(prints: np.ndarray, sizes: np.ndarray, far: int, similarity: float) -> list[tuple[int, int]]:
+    """Links (positions) of a spanning forest of the candidate pairs."""
     n = len(prints)
-    level = np.zeros(WIDE + 1, np.int64)
-
-    def codes(i: int) -> np.ndarray:
-        rest = np.flatnonzero(roots[i + 1 :] != roots[i]) + i + 1
-        d = _masks(prints, sizes, i, rest, far, similarity).astype(np.int64)
-        found = (d * n + i) * n + rest
-        return found[(d < TOO_FAR) & (found > after)]
-
-    for i in range(n - 1):
-        level += np.bincount(codes(i) // (n * n), minlength=WIDE + 1)
-    total = int(level.sum())
-    ends = np.cumsum(level)
-    last = int(np.searchsorted(ends, min(most, total))) if total else 0  # the level that fills up
-    room, out = min(most, total) - (int(ends[last - 1]) if last else 0), []
-    for i in range(n - 1 if total else 0):
-        own = codes(i)
-        full = own[own // (n * n) < last]
-        part = own[own // (n * n) == last][:room]
-        room -= len(part)
-        out += [full, part]
-    return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64), total > most
+    if n <= LANES:
+        left, right = np.triu_indices(n, 1)
+        found = pairs_within(prints, sizes, left, right, far, similarity)
+        return _small_forest(left[found], right[found])
+    reach, rest, links = _Reach(prints, sizes, far, similarity), np.ones(n, bool), []
+    for first in range(n):
+        queue = [first] if rest[first] else []
+        rest[first] = False
+        while queue:
+            now = queue.pop()
+            found = reach.of(now, rest)
+            rest[found] = False
+            links += [(now, x) for x in found.tolist()]
+            queue += found.tolist()
+    return links
 
 
 def _members(tids: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"".join(fps), "<u8").reshape(len(tids), WIDE // 64 + 1)
+    raw = np.frombuffer(b"".join(fps), "<u8").reshape(len(tids), WIDE_WORDS + 1)
     return raw[:, :-1], raw[:, -1].astype(np.int64)
 
 
-LINKS = "cell long, u binary, v binary, bits int, after long"
-
-
-def _near_links(near: int, far: int, similarity: float, first: bool, factor: int):
-    """Links (cell, u, v, bits) of the cells, `first` those of a forest, then what still parts components; a row without u for a cell that has more."""
+def _cell_links(far: int, similarity: float):
+    """(u, v) of the cells in a stream that is sorted by cell and text; the cells of few members are compared together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _runs(["cell", "tid", "fp"] if first else ["cell", "tid", "fp", "root", "after"])(batches):
-            keys, tids, fps = columns[:3]
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for at in np.flatnonzero(np.diff(starts) > 1).tolist():
-                a, b = int(starts[at]), int(starts[at + 1])
-                own = [a, *(i for i in range(a + 1, b) if tids[i] != tids[i - 1])]  # two bands may give one key
-                n, names = len(own), [tids[i] for i in own]
-                if n < 2:
-                    continue
-                prints, sizes = _members(tids[own], fps[own])
-                if first:
-                    pairs = spanning_links(prints, sizes, far, similarity)
-                else:
-                    _, roots = np.unique(columns[3][own], return_inverse=True)
-                    codes, more = crossing_pairs(prints, sizes, roots, far, similarity, int(columns[4][a]), factor * max(n, FEW))
-                    pairs = [(int(c) // n % n, int(c) % n, int(c) // (n * n)) for c in codes]
-                    if more:
-                        for column, x in zip(out, (int(keys[a]), None, None, None, int(codes[-1])), strict=True):
-                            column.append(x)
-                for x, y, d in pairs:
-                    least, most = sorted((int(sizes[x]), int(sizes[y])))
-                    u, v = sorted((names[x], names[y]))
-                    for column, z in zip(out, (int(keys[a]), u, v, d if least >= max(SMALL, EVEN * most) else max(d, near + 1), None), strict=True):
-                        column.append(z)
-            if out[0]:
-                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["cell", "u", "v", "bits", "after"])
+        for keys, tids, fps in _runs(["cell", "tid", "fp"])(batches):
+            new = np.r_[True, (keys[1:] != keys[:-1]) | (tids[1:] != tids[:-1])]  # two bands may give one key
+            keys, tids, fps = keys[new], tids[new], fps[new]
+            prints, sizes = _members(tids, fps)
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            counts = np.diff(np.r_[starts, len(keys)])
+            links, lefts, rights = [], [], []
+            for n in np.unique(counts).tolist():
+                own = starts[counts == n]
+                if 1 < n <= LANES:
+                    x, y = np.triu_indices(n, 1)
+                    lefts.append((own[:, None] + x).ravel())
+                    rights.append((own[:, None] + y).ravel())
+                elif n > LANES:
+                    for at in own.tolist():
+                        links += [(at + x, at + y) for x, y in spanning_links(prints[at : at + n], sizes[at : at + n], far, similarity)]
+            if lefts:
+                left, right = np.concatenate(lefts), np.concatenate(rights)
+                found = pairs_within(prints, sizes, left, right, far, similarity)
+                links += _small_forest(left[found], right[found])
+            if links:
+                x, y = np.array(links).T
+                yield pa.RecordBatch.from_arrays([pa.array(tids[x].tolist(), pa.binary()), pa.array(tids[y].tolist(), pa.binary())], names=["u", "v"])
 
     return run
 
 
-def _verify(shingle: int, similarity: float):
+def verified_links(sets: list[np.ndarray], classes: np.ndarray, far: int, similarity: float) -> list[tuple[int, int]]:
+    """Links (positions) that join the classes, numbers, of all members whose sets have the similarity: every pair of two classes is decided, by its sets where bits and sizes don't."""
+    n, sizes, classes = len(sets), np.array([len(s) for s in sets]), classes.copy()
+    reach = _Reach(np.array([wide_print(s) for s in sets]), sizes, far, similarity) if n > LANES else None
+    names, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    parts, marked, links = np.split(codes, ends[:-1]), np.zeros(len(names), bool), []
+    for now in range(n - 1):
+        rest = classes != classes[now]
+        rest[: now + 1] = False
+        found = np.flatnonzero(rest & _even(sizes, sizes[now], similarity)) if reach is None else reach.of(now, rest)
+        if len(found):
+            marked[parts[now]] = True
+            hits = marked[np.concatenate([parts[i] for i in found.tolist()])]
+            marked[parts[now]] = False
+            common = np.add.reduceat(hits, np.cumsum(sizes[found]) - sizes[found], dtype=np.int64)
+            for other in found[common / (sizes[found] + sizes[now] - common) >= similarity].tolist():
+                if classes[other] != classes[now]:
+                    links.append((now, other))
+                    classes[classes == classes[other]] = classes[now]
+    return links
+
+
+def _unit_links(shingle: int, far: int, similarity: float):
+    """(u, v) of the units in a stream of (unit, tid, root, text) that is sorted by unit and tid; only the hashes of one unit's texts are held."""
+
+    def links(tids: list[bytes], roots: list[bytes], sets: list[np.ndarray]) -> pa.RecordBatch:
+        found = verified_links(sets, np.unique(np.array(roots, object), return_inverse=True)[1], far, similarity) if len(tids) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([tids[i[k]] for i in found], pa.binary()) for k in (0, 1)], names=["u", "v"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own = None, ([], [], [])
         for batch in batches:
-            left, right, keep = batch.column(2), batch.column(3), []
-            for a, b in zip(left, right, strict=True):
-                x, y = shingle_set(a.as_py(), shingle), shingle_set(b.as_py(), shingle)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= similarity * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            for unit, tid, root, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                if unit != held:
+                    yield links(*own)
+                    held, own = unit, ([], [], [])
+                if not own[0] or own[0][-1] != tid:
+                    for column, x in zip(own, (tid, root, shingle_set(text.as_py(), shingle)), strict=True):
+                        column.append(x)
+        yield links(*own)
 
     return run
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
-    """(tid, root) for texts that are linked to a different text: tid is the text's MD5, root the group's smallest.
+def _text_id(text_col: str) -> F.Column:
+    return F.unhex(F.md5(F.col(text_col).cast("string")))
 
-    Two different texts are linked if their sets of word shingles have a Jaccard similarity of `similarity` or more.
-    Texts meet if they agree in a band of least hashes (anchors); what meets is compared by bit-sliced distances of wide
-    SimHashes; pairs that the distance alone can't decide are held against their whole texts. Each key first gives the
-    links of a minimum spanning forest; where one of them is rejected, the key gives the pairs that part components after
-    that, nearest first, until no pair within reach of the distance is left unchecked between two of them. At the
-    similarity asked for, a pair meets with probability 1 - (1 - s^4)^16 (0.9998 at 0.8). Texts without words are linked
-    to nothing.
-    """
-    near, far = radii(similarity)
-    texts = docs.select(F.unhex(F.md5(F.col(text_col).cast("string"))).alias("tid"), F.col(text_col).cast("string").alias("text")).where("tid is not null")
-    feats = staged(texts.mapInArrow(_features(shingle), "tid binary, fp binary, keys array<long>").dropDuplicates(["tid"]), "features")
-    keyed = feats.select(F.explode("keys").alias("key"), "tid", "fp")
-    hot = staged(keyed.groupBy(F.col("key").alias("hot_key")).agg(F.count("*").alias("n")).where(F.col("n") > CELL).select("hot_key", F.ceil(F.col("n") / CELL).cast("int").alias("k")), "hot")
-    dealt = keyed.join(hot, F.col("key") == F.col("hot_key"), "left").withColumn("own", F.pmod(F.hash("tid"), F.coalesce("k", F.lit(1))))
-    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))).select(
-        F.when(F.col("k").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("cell"), "tid", "fp"
-    )
-    labels, after, factor = None, None, PAIRS
-    while True:
-        rows = cells
-        if labels is not None:
-            # Only keys that may still hold an unchecked pair between two components.
-            known = labels.select(F.col("node").alias("of"), "root")
-            rows = cells.join(after, F.col("cell") == F.col("open_cell")).join(known, F.col("tid") == F.col("of"), "left").select("cell", "tid", "fp", F.coalesce("root", "tid").alias("root"), "after")
-        found = staged(rows.repartition("cell").sortWithinPartitions("cell", "tid").mapInArrow(_near_links(near, far, similarity, labels is None, factor), LINKS), "links")
-        pairs = found.where("u is not null").groupBy("u", "v").agg(F.min("bits").alias("bits"))
-        accepted = staged(pairs.where(F.col("bits") <= near).select("u", "v").unionAll(_checked(texts, pairs.where(F.col("bits") > near), shingle, similarity)), "accepted")
-        if labels is None:
-            # A forest without a rejected link joins all that its key could join.
-            held = accepted.select(F.col("u").alias("au"), F.col("v").alias("av"))
-            after = found.join(held, (F.col("u") == F.col("au")) & (F.col("v") == F.col("av")), "left_anti").select(F.col("cell").alias("open_cell")).distinct().withColumn("after", F.lit(-1).cast("long"))
-            labels = staged(components(accepted), "labels")
-        else:
-            after, factor = found.where("u is null").select(F.col("cell").alias("open_cell"), "after"), factor * GROWTH
-            if not accepted.isEmpty():
-                labels = staged(components(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(accepted)), "labels")
-        after = staged(after, "open")
-        if after.isEmpty():
-            return labels.select(F.col("node").alias("tid"), "root")
+
+def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(tid, id): the MD5 of every different text and the smallest id of its rows; null if none has one."""
+    return docs.select(_text_id(text_col).alias("tid"), F.col(id_col).alias("id")).where("tid is not null").groupBy("tid").agg(F.min("id").alias("id"))
 
 
-def _checked(texts: DataFrame, doubtful: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose whole texts are alike enough."""
-    ends = doubtful.select(F.col("u").alias("end")).unionAll(doubtful.select("v")).distinct()
-    whole = staged(texts.join(ends.hint("merge"), F.col("tid") == F.col("end"), "left_semi").dropDuplicates(["tid"]), "whole")
-    pairs = doubtful.join(whole.select(F.col("tid").alias("ut"), F.col("text").alias("u_text")), F.col("u") == F.col("ut")).join(whole.select(F.col("tid").alias("vt"), F.col("text").alias("v_text")), F.col("v") == F.col("vt"))
-    return pairs.select("u", "v", "u_text", "v_text").mapInArrow(_verify(shingle, similarity), "u binary, v binary")
+def candidate_links(feats: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) of a spanning forest of each key's candidates, from the features (tid, fp, keys)."""
+    keyed = feats.select(F.explode("keys").alias("key"), "tid")
+    common = keyed.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("n")).where("n > 1").select("of", F.ceil(F.col("n") / CELL).cast("int").alias("k"))
+    shared = keyed.join(common.hint("merge"), F.col("key") == F.col("of")).select("key", "k", F.col("tid").alias("t"))
+    dealt = shared.join(feats.select("tid", "fp").hint("merge"), F.col("t") == F.col("tid")).withColumn("own", F.pmod(F.hash("tid"), F.col("k")))
+    cell = F.when(F.col("k") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(cell.alias("cell"), "tid", "fp")
+    return cells.repartition("cell").sortWithinPartitions("cell", "tid").mapInArrow(_cell_links(radii(similarity)[1], similarity), "u binary, v binary")
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text_col: str = "text", id_col: str = "doc_id", firsts: DataFrame | None = None) -> DataFrame:
+    """(tid, root) for texts that are linked to a different text: tid is the text's MD5, root the group's smallest.
+
+    Two different texts are linked if their sets of word shingles have a Jaccard similarity of `similarity` or more. Texts
+    meet if they agree in a band of least hashes (with probability 1 - (1 - s^4)^16, 0.9998 at 0.8), and are candidates if
+    the bit-sliced distance of their wide SimHashes doesn't rule the similarity out. The components of the candidates
+    are groups, and within a group every pair of texts is decided by its shingle sets unless other links already join
+    them, so no link depends on a group's size. A group too large for a task is dealt into blocks, several times anew;
+    then the texts outside its largest class, in blocks, meet all of its blocks. Texts without words are linked to nothing.
+    """
+    firsts = staged(first_rows(docs, id_col, text_col), "firsts") if firsts is None else firsts
+    texts = docs.select(_text_id(text_col).alias("tid"), F.col(text_col).cast("string").alias("text"), _id_key(F.col(id_col)).alias("id")).where("tid is not null")
+    feats = staged(texts.select("tid", "text").mapInArrow(_features(shingle), "tid binary, fp binary, keys array<long>, size long").dropDuplicates(["tid"]), "features")
+    groups = components(candidate_links(feats, similarity))
+    sized = groups.join(feats.select("tid", "size"), F.col("node") == F.col("tid")).select("tid", "size", F.col("root").alias("group"))
+    weights = sized.groupBy(F.col("group").alias("of")).agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("size") / UNIT_SHINGLES)).cast("int").alias("k"))
+    keys = firsts.select(F.col("tid").alias("first"), _id_key(F.col("id")).alias("first_id"))
+    members = staged(sized.join(weights, F.col("group") == F.col("of")).join(keys, F.col("tid") == F.col("first")).select("first", "first_id", "size", "group", "k"), "members")
+    # A row of each text alone: copies of a text, however many, lie apart by their ids.
+    own = texts.join(members.hint("merge"), (F.col("tid") == F.col("first")) & (F.col("id") == F.col("first_id"))).select("tid", "text", "size", "group", "k")
+    whole = staged(own, "whole")
+    deals = F.explode(F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    block = lambda deal: F.pmod(F.xxhash64("tid", deal), F.col("k")).cast("int")
+    units = whole.withColumn("deal", deals).select(F.xxhash64("group", "deal", block(F.col("deal"))).alias("unit"), "tid", F.col("tid").alias("root"), "text")
+
+    def verified(units: DataFrame) -> DataFrame:
+        sorted_units = units.repartition("unit").sortWithinPartitions("unit", "tid")
+        return sorted_units.mapInArrow(_unit_links(shingle, radii(similarity)[1], similarity), "u binary, v binary")
+
+    labels = components(verified(units))
+    parted = whole.where("k > 1").join(labels.withColumnRenamed("root", "class"), F.col("tid") == F.col("node"), "left").select("tid", "size", "group", "k", F.coalesce("class", "tid").alias("root"))
+    parted = staged(parted, "parted")
+    if not parted.isEmpty():
+        # A class may be nearly all of a group: counts are summed before they meet.
+        counts = parted.groupBy("group", "root").agg(F.count("*").alias("n"))
+        largest = counts.groupBy(F.col("group").alias("of")).agg(F.max(F.struct("n", "root")).alias("top")).select("of", F.col("top.root").alias("top"))
+        outside = parted.join(largest, F.col("group") == F.col("of")).where("root <> top")
+        rows = outside.groupBy(F.col("group").alias("open")).agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("size") / UNIT_SHINGLES)).cast("int").alias("m"))
+        tops = largest.join(rows, F.col("of") == F.col("open")).select("of", "top", "m")
+        asked = parted.join(tops, F.col("group") == F.col("of")).select(F.col("tid").alias("t"), "root", (F.col("root") != F.col("top")).alias("out"), "m")
+        met = whole.join(asked.hint("merge"), F.col("tid") == F.col("t"))
+        cross = lambda row, column: F.xxhash64("group", row, column).alias("unit")
+        every = met.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select(cross("row", block(F.lit(0))), "tid", "root", "text")
+        few = met.where("out").withColumn("column", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(cross(F.pmod(F.xxhash64("tid", F.lit(-1)), F.col("m")).cast("int"), "column"), "tid", "root", "text")
+        more = staged(verified(every.unionAll(few)), "more")
+        labels = components(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(more))
+    return labels.select(F.col("node").alias("tid"), "root")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, one for each group of equal or near-duplicate texts: that with the smallest id, nulls last.
 
-    All columns stay. Rows with a null text are groups of their own.
+    All columns stay. Rows with a null text are groups of their own. A row whose text has no words stands for its equals.
     """
-    key = F.unhex(F.md5(F.col(text_col).cast("string")))
-    firsts = docs.select(key.alias("tid"), F.col(id_col).alias("id")).where("tid is not null").groupBy("tid").agg(F.min("id").alias("id"))
-    roots = near_groups(docs, shingle, similarity, text_col).select(F.col("tid").alias("node"), "root")
+    firsts = staged(first_rows(docs, id_col, text_col), "firsts")
+    roots = near_groups(docs, shingle, similarity, text_col, id_col, firsts).select(F.col("tid").alias("node"), "root")
     grouped = firsts.join(roots, F.col("tid") == F.col("node"), "left").groupBy(F.coalesce("root", "tid").alias("group"))
     best = grouped.agg(F.min(F.struct(F.col("id").isNull(), "id", "tid")).alias("b"))
     keepers = staged(best.select(F.col("b.tid").alias("__cm_t"), _id_key(F.col("b.id")).alias("__cm_i")), "keepers")
     # Texts are shuffled once, in the same way at every size; equal texts are told apart by their ids, so a large group of copies is spread.
-    own = docs.where(F.col(text_col).isNotNull()).withColumns({"__cm_tid": key, "__cm_id": _id_key(F.col(id_col))})
+    own = docs.where(F.col(text_col).isNotNull()).withColumns({"__cm_tid": _text_id(text_col), "__cm_id": _id_key(F.col(id_col))})
     found = own.join(keepers.hint("merge"), (F.col("__cm_tid") == F.col("__cm_t")) & (F.col("__cm_id") == F.col("__cm_i")), "left_semi")
     one = F.row_number().over(Window.partitionBy("__cm_tid", "__cm_id").orderBy("__cm_tid"))  # rows that repeat an id and a text
     return found.withColumn("__cm_n", one).where("__cm_n = 1").select(*docs.columns).unionAll(docs.where(F.col(text_col).isNull()))

@@ -145,3 +145,78 @@ def test_small_sets_are_not_given_up_by_distance():
         batch = next(simhash._features(5)(iter([simhash.pa.RecordBatch.from_arrays([simhash.pa.array([b"a", b"b"]), simhash.pa.array([text, text + " more"])], names=["tid", "text"])])))
         prints, sizes = simhash._members(*(np.array(batch.column(i).to_pylist(), object) for i in (0, 1)))
         assert sizes.tolist() == [4, 5] and len(simhash.spanning_links(prints, sizes, far, 0.8)) == 1
+
+
+def kept_of(spark, texts):
+    return {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+
+def wanted(texts):
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8]
+    return set(classes(near, range(len(texts))).values())
+
+
+def variants(rng, base, n, least, most):
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for i in rng.sample(range(len(words)), rng.randint(least, most)):
+            words[i] = f"new{rng.randrange(10**6)}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_a_star_is_one_group(spark):
+    """Texts that are near one text and not near each other, more than a small group."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base)] + [" ".join([*base[: 30 + 2 * i], *[f"x{i}_{k}" for k in range(9)], *base[39 + 2 * i :]]) for i in range(60)]
+    assert min(jaccard(texts[0], t) for t in texts) >= 0.8 and any(jaccard(a, b) < 0.8 for a in texts[1:] for b in texts[1:20])
+    rng.shuffle(texts)
+    assert kept_of(spark, texts) == wanted(texts) == {0}
+
+
+def test_groups_of_any_size_equal_brute_force(spark, prose):
+    rng, texts = random.Random(13), []
+    for i, n in enumerate((2, 3, 13, 33, 60)):
+        texts += variants(rng, prose(1, seed=20 + i, words=600)[0].split()[:300], n, 4, 6)
+    rng.shuffle(texts)
+    assert kept_of(spark, texts) == wanted(texts)
+
+
+def test_blocks_of_a_group_equal_brute_force(spark, monkeypatch, prose):
+    """A group that is dealt into many blocks, with members that only few others are near to."""
+    monkeypatch.setattr(simhash, "CELL", 8)
+    rng = random.Random(17)
+    base = prose(1, seed=31, words=600)[0].split()[:300]
+    texts = variants(rng, base, 60, 1, 3) + variants(rng, base, 40, 5, 7)
+    rng.shuffle(texts)
+    want = wanted(texts)
+    assert 3 < len(want) < 40
+    for deals in (1, 3):
+        monkeypatch.setattr(simhash, "DEALS", deals)
+        assert kept_of(spark, texts) == want
+
+
+def test_five_thousand_near_copies(spark, prose):
+    """Every text is near the first; none is lost."""
+    base = prose(1, seed=41, words=200)[0].split()[:90]
+    texts = [" ".join(base)] + [" ".join([*base[: i % 86], f"n{i}", *base[i % 86 + 1 :]]) for i in range(5000)]
+    assert kept_of(spark, [t for t in texts if jaccard(texts[0], t) >= 0.8]) == {0}
+
+
+def test_verified_links_decide_every_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    sets = []
+    for _ in range(70):
+        base = np.unique(rng.integers(0, 1 << 63, 100).astype(np.uint64))
+        for _ in range(rng.integers(1, 4)):
+            own = base.copy()
+            own[rng.integers(0, len(own), rng.integers(0, 14))] = rng.integers(0, 1 << 63, 1).astype(np.uint64)
+            sets.append(np.unique(own))
+    share = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if share(sets[i], sets[j]) >= 0.8]
+    got = simhash.verified_links(sets, np.arange(len(sets)), simhash.radii(0.8)[1], 0.8)
+    assert all(share(sets[i], sets[j]) >= 0.8 for i, j in got) and classes(got, range(len(sets))) == classes(near, range(len(sets)))
