@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip, words
+from ..functions.text import strip
+from ..sources.staging import staged
 
 #: Patterns of each relation, in their order; the first group is what is referred to.
 PATTERNS = (
@@ -31,6 +32,8 @@ SPECIFIC_TYPES, HEDGES = ("cites", "exhibits_to"), ("may", "might", "similar")
 CONTEXT = 100
 UNRESOLVED = "unresolved:"
 LEAST_CONFIDENCE = 0.5
+#: Characters of a run by which identifiers are looked up.
+GRAM = 3
 _MARK = "\ue000"
 
 
@@ -44,13 +47,14 @@ def confidence(relation: Column, matched: Column) -> Column:
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every match of every pattern: (source_id, relation_type, reference, matched, context, confidence, ord), within each document's row.
 
-    context: the match with up to 100 characters before and behind it.
+    context: the match with up to 100 characters before and behind it. The private character U+E000 counts as a space.
     """
+    text = F.translate(F.col(text_col), _MARK, " ")
 
     def matches(number: int, kind: str, pattern: str) -> Column:
         p = f"(?i){pattern}"
-        whole, group = F.regexp_extract_all(F.col(text_col), F.lit(p), F.lit(0)), F.regexp_extract_all(F.col(text_col), F.lit(p), F.lit(1))
-        pieces = F.split(F.regexp_replace(F.col(text_col), p, _MARK + "$0" + _MARK), _MARK)
+        whole, group = F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.regexp_extract_all(text, F.lit(p), F.lit(1))
+        pieces = F.split(F.regexp_replace(text, p, _MARK + "$0" + _MARK), _MARK)
         # Pieces alternate: text between matches, match, text, ...; the ends of both neighbours give the context.
         around = lambda i: F.concat(F.substring(F.get(pieces, 2 * i), -CONTEXT, CONTEXT), F.get(pieces, 2 * i + 1), F.substring(F.get(pieces, 2 * i + 2), 1, CONTEXT))
         row = lambda m, i: F.struct((F.lit(number) * 1_000_000 + i).cast("long").alias("ord"), F.lit(kind).alias("relation_type"), strip(F.get(group, i)).alias("reference"), m.alias("matched"), around(i).alias("context"))
@@ -61,19 +65,28 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return each.withColumn("confidence", confidence(F.col("relation_type"), F.col("matched")))
 
 
+def _grams(text: Column, n: int) -> Column:
+    """The distinct runs of n characters."""
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))
+
+
 def resolve(relations: DataFrame, known: DataFrame) -> DataFrame:
     """relations with target_id, first of each (source, target, type): known(identifier, document_id, ord) is looked up in the lower-cased reference.
 
-    The identifier registered first wins; what matches none is unresolved:<reference>. References are few against
-    documents; the lookup is a join of distinct references with the identifiers that share a word with them.
+    The identifier registered first wins; what matches none is unresolved:<reference>; empty identifiers match none. The
+    lookup is a join on runs of GRAM characters: a reference has all of its runs, an identifier only that of its own that
+    the fewest identifiers hold (a shorter identifier is one run), and what meets is verified.
     """
-    plain = lambda c: words(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
-    refs = relations.select("reference").distinct()
-    ref_words = refs.select("reference", F.explode(F.array_distinct(F.concat(plain(F.col("reference")), F.array(F.lit(""))))).alias("w"))
-    # An identifier of three words or more holds its second word whole; shorter ones may begin or end inside a word and meet every reference.
-    own = plain(F.col("identifier"))
-    keyed = known.withColumn("w", F.when(F.size(own) > 2, F.get(own, F.lit(1))).otherwise(F.lit("")))
-    hit = ref_words.join(keyed, "w").where(F.lower("reference").contains(F.lower("identifier")))
+    refs = relations.select("reference").distinct().withColumn("lower", F.lower("reference"))
+    held = refs.select("reference", "lower", F.explode(F.concat(*[_grams(F.col("lower"), n) for n in range(1, GRAM + 1)])).alias("gram"))
+    names = staged(known.withColumn("name", F.lower("identifier")).where("name <> ''").groupBy("name").agg(F.min_by("document_id", "ord").alias("document_id"), F.min("ord").alias("ord")), "names")
+    own = F.when(F.length("name") >= GRAM, _grams(F.col("name"), GRAM)).otherwise(F.array("name"))
+    grams = names.select("name", F.explode(own).alias("gram"))
+    counts = grams.groupBy(F.col("gram").alias("of")).agg(F.count("*").alias("n"))
+    rarest = grams.join(counts, F.col("gram") == F.col("of")).groupBy(F.col("name").alias("of_name")).agg(F.min_by("gram", F.struct("n", "gram")).alias("key"))
+    keyed = names.join(rarest, F.col("name") == F.col("of_name"))
+    hit = held.join(keyed, F.col("gram") == F.col("key")).where(F.contains("lower", "name"))
     best = hit.groupBy("reference").agg(F.min_by("document_id", "ord").alias("document_id"))
     out = relations.join(best, "reference", "left").withColumn("target_id", F.coalesce(F.col("document_id").cast("string"), F.concat(F.lit(UNRESOLVED), "reference")))
     first = F.row_number().over(Window.partitionBy("source_id", "target_id", "relation_type").orderBy("ord"))
@@ -108,7 +121,8 @@ def k_hop(edges: DataFrame, starts: DataFrame, depth: int = 1, least: float = LE
         reached = frontier.join(steps, F.col("node") == F.col("a")).select("start", F.col("b").alias("node"), F.lit(hop).alias("hops"), F.concat("path", F.array(F.col("b").cast("string"))).alias("path"), F.concat("confidences", F.array("confidence")).alias("confidences"), F.struct("found", "direction", "ord").alias("by"))
         fresh = reached.join(all_found.select(F.col("start").alias("s"), F.col("node").alias("n")), (F.col("start") == F.col("s")) & (F.col("node") == F.col("n")), "left_anti")
         first = fresh.groupBy("start", "node").agg(F.min_by(F.struct("hops", "path", "confidences"), "by").alias("x"), F.min("by").alias("by"))
-        frontier = first.select("start", "node", "x.*", (F.row_number().over(Window.partitionBy("start").orderBy("by"))).cast("long").alias("found"))
+        # Written at every hop, so that no plan holds the hops before it.
+        frontier = staged(first.select("start", "node", "x.*", (F.row_number().over(Window.partitionBy("start").orderBy("by"))).cast("long").alias("found")), "hop")
         all_found = all_found.unionAll(frontier)
     return all_found.where("hops > 0").drop("found")
 
@@ -121,7 +135,7 @@ def shortest_chain(edges: DataFrame, pairs: DataFrame, depth: int = 5) -> DataFr
     for hop in range(1, depth + 1):
         reached = frontier.join(steps, F.col("node") == F.col("a")).select("start", F.col("b").alias("node"), F.lit(hop).alias("hops"), F.concat("path", F.array(F.col("b").cast("string"))).alias("path"), "ord")
         fresh = reached.join(all_found.select(F.col("start").alias("s"), F.col("node").alias("n")), (F.col("start") == F.col("s")) & (F.col("node") == F.col("n")), "left_anti")
-        frontier = fresh.groupBy("start", "node").agg(F.min("hops").alias("hops"), F.min_by("path", F.struct("path", "ord")).alias("path"))
+        frontier = staged(fresh.groupBy("start", "node").agg(F.min("hops").alias("hops"), F.min_by("path", F.struct("path", "ord")).alias("path")), "hop")
         all_found = all_found.unionAll(frontier)
     return pairs.join(all_found, "start").where(F.col("node") == F.col("goal")).select("start", "goal", "hops", "path")
 

@@ -11,6 +11,7 @@ from ..functions import query_analysis as qa
 from ..functions import terms
 from ..sources.staging import staged
 from . import bm25, fusion, graph
+from .vectors import maxsim
 
 #: How many candidates each list has for one result, what a precise hit adds, results of a precise search.
 OVER_FETCH, ENHANCED_OVER_FETCH = 3, 2
@@ -59,13 +60,14 @@ def precise(queries: DataFrame, index: bm25.Index, keep: Column | None = None) -
     return found.select("query_id", "id", (F.col("score") + PRECISE_BOOST).alias("final_score"), F.col("score").alias("bm25_score"), F.lit(1).cast("long").alias("bm25_rank"), F.col("rank").alias("list_rank"))
 
 
-def enhanced(queries: DataFrame, index: bm25.Index, dictionary: DataFrame, dense: DataFrame | None = None, edges: DataFrame | None = None, limit: int = 10, keep: Column | None = None, fallback_below: float = FALLBACK_BELOW) -> tuple[DataFrame, DataFrame]:
+def enhanced(queries: DataFrame, index: bm25.Index, dictionary: DataFrame, dense: DataFrame | None = None, edges: DataFrame | None = None, limit: int = 10, keep: Column | None = None, fallback_below: float = FALLBACK_BELOW, tenant_keep: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, analytics): queries are expanded by the dictionary, searched with twice the limit, precise hits come first, and graph neighbours last.
 
-    A query whose confidence is under fallback_below also gets a plain keyword search of its words; at the default no
-    query with results falls that low. All searches keep to the tenant's rows.
+    A query whose confidence is under fallback_below also gets a plain keyword search of its words, and, if all of its
+    results are of one document, a search without the caller's filters; at the default no query with results falls that
+    low. keep: the tenant's and the caller's filter; tenant_keep: the tenant's alone, which the wider search keeps to;
+    without it there is no wider search under a filter.
     """
-    index = bm25.stored(index)
     known = staged(terms.enhance(queries, dictionary), "queries")
     asked = known.select("query_id", F.col("expanded_query").alias("query"))
     base = hybrid(asked, index, dense, limit=ENHANCED_OVER_FETCH * limit, keep=keep)
@@ -76,6 +78,11 @@ def enhanced(queries: DataFrame, index: bm25.Index, dictionary: DataFrame, dense
     weak = signals.where((F.col("confidence") < fallback_below) & F.array_contains("recommendations", "try_keyword_search")).select("query_id")
     plain = bm25.search(index, queries.join(weak, "query_id", "left_semi"), FALLBACK_LIMIT, keep=keep)
     more = plain.select("query_id", "id", F.col("score").alias("final_score"), F.col("score").alias("bm25_score"), F.lit(None).cast("long").alias("bm25_rank"), F.lit(None).cast("double").alias("dense_score"), F.lit(None).cast("long").alias("dense_rank"), F.lit(2).alias("priority"), "rank")
+    if keep is None or tenant_keep is not None:
+        narrow = signals.where((F.col("confidence") < fallback_below) & F.array_contains("recommendations", "expand_search")).select("query_id")
+        wider = hybrid(queries.join(narrow, "query_id", "left_semi"), index, limit=FALLBACK_LIMIT, keep=tenant_keep)
+        more = more.unionAll(wider.select("query_id", "id", "final_score", "bm25_score", "bm25_rank", "dense_score", "dense_rank", F.lit(2).alias("priority"), "rank"))
+        weak = weak.unionAll(narrow).distinct()
     merged = staged(fusion.priority_merge(merged.unionAll(more)).withColumn("is_graph_augmented", F.lit(False)), "merged")
     if edges is not None:
         order = F.row_number().over(Window.partitionBy("query_id").orderBy("priority", "rank"))
@@ -100,12 +107,47 @@ def rerank(results: DataFrame, queries: DataFrame, texts: DataFrame, scorer: Cal
     return bm25.top(both.select("query_id", "id", score("query", "text").alias("score")), limit)
 
 
-def with_elements(queries: DataFrame, element_patches: DataFrame, query_patches: DataFrame, limit: int = 10) -> DataFrame:
-    """The second list of visual elements, of half the limit, for queries that ask for some: elements(id, element_type, vec), restricted to the types that a query names."""
-    from .vectors import as_double, dot
+#: Element types of the table and figure searches, and how many results they give.
+TABLE_TYPES, FIGURE_TYPES, ELEMENT_LIMIT = ("Table",), ("Image", "Figure"), 5
 
-    asked = queries.select("query_id", qa.visual_score(F.col("query")).alias("s"), qa.target_element_types(F.col("query")).alias("types")).where((F.col("s") >= qa.MIXED_AT) | F.col("types").isNotNull())
-    q = query_patches.join(asked, "query_id").select("query_id", "types", "patch_id", as_double(F.col("vec")).alias("q"))
-    e = element_patches.select("id", "element_type", as_double(F.col("vec")).alias("p"))
-    best = e.join(q, F.col("types").isNull() | F.array_contains("types", F.col("element_type"))).groupBy("query_id", "patch_id", "id").agg(F.max(dot(F.col("q"), F.col("p"))).alias("s"))
-    return bm25.top(best.groupBy("query_id", "id").agg(F.sum("s").alias("score")), max(1, limit // 2))
+
+def visual_elements(query_patches: DataFrame, element_patches: DataFrame, types: tuple[str, ...] | None = None, limit: int = 10, keep: Column | None = None) -> DataFrame:
+    """(query_id, id, score, rank): late interaction of queries with elements(id, element_type, vec), of some types and under a filter on their other columns."""
+    own = element_patches if types is None else element_patches.where(F.col("element_type").isin(*types))
+    return maxsim(query_patches, own if keep is None else own.where(keep), limit)
+
+
+def table_elements(query_patches: DataFrame, element_patches: DataFrame, limit: int = ELEMENT_LIMIT, keep: Column | None = None) -> DataFrame:
+    return visual_elements(query_patches, element_patches, TABLE_TYPES, limit, keep)
+
+
+def figure_elements(query_patches: DataFrame, element_patches: DataFrame, limit: int = ELEMENT_LIMIT, keep: Column | None = None) -> DataFrame:
+    return visual_elements(query_patches, element_patches, FIGURE_TYPES, limit, keep)
+
+
+def with_elements(queries: DataFrame, element_patches: DataFrame, query_patches: DataFrame, limit: int = 10, keep: Column | None = None) -> DataFrame:
+    """The second list of visual elements, of half the limit, for queries that ask for some: elements(id, element_type, vec), restricted to the types that a query names.
+
+    Queries that name the same types are searched together; there are few sets of types.
+    """
+    asked = staged(queries.select("query_id", qa.visual_score(F.col("query")).alias("s"), qa.target_element_types(F.col("query")).alias("types")).where((F.col("s") >= qa.MIXED_AT) | F.col("types").isNotNull()), "asked")
+    found = None
+    for row in [r.types for r in asked.select("types").distinct().collect()]:  # as many as there are sets of types that queries can name
+        own = query_patches.join(asked.where(F.col("types").eqNullSafe(F.lit(None) if row is None else F.array(*map(F.lit, row)))).select("query_id"), "query_id", "left_semi")
+        one = visual_elements(own, element_patches, None if row is None else tuple(row), max(1, limit // 2), keep)
+        found = one if found is None else found.unionAll(one)
+    return maxsim(query_patches.limit(0), element_patches.limit(0), 1) if found is None else found
+
+
+def search_with_elements(queries: DataFrame, index: bm25.Index, query_patches: DataFrame, element_patches: DataFrame, limit: int = 10, keep: Column | None = None, element_keep: Column | None = None, **more) -> tuple[DataFrame, DataFrame]:
+    """(results, elements) of one call: the hybrid search, and beside it the elements for the queries that ask for some."""
+    return hybrid(queries, index, limit=limit, keep=keep, **more), with_elements(queries, element_patches, query_patches, limit, element_keep)
+
+
+def keyword_only(queries: DataFrame, index: bm25.Index, limit: int = 10, keep: Column | None = None) -> DataFrame:
+    return hybrid(queries, index, limit=limit, dynamic=False, weights={"bm25": 1.0}, keep=keep)
+
+
+def dense_only(dense: DataFrame, limit: int = 10) -> DataFrame:
+    """A dense list alone, fused as any other."""
+    return fusion.rrf(ranked(dense, "dense"), {"dense": 1.0}).where(F.col("rank") <= limit)

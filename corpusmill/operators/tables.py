@@ -63,8 +63,10 @@ def regions(text: Column) -> Column:
     """Table regions of a text: array of (start, end, text, confidence, ...), in order, without overlaps.
 
     Regions around hints and runs of lines with steady columns are taken together, in the order of their starts; of
-    overlapping neighbours the one with the higher confidence stays, the earlier one if they are equal.
+    overlapping neighbours the one with the higher confidence stays, the earlier one if they are equal. The private
+    character U+E000 counts as a space.
     """
+    text = F.translate(text, _MARK, " ")
 
     def of(own: Column) -> Column:
         n = F.size(own)
