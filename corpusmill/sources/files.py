@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import document_id
@@ -14,6 +14,9 @@ from ..functions.text import strip
 #: Extensions that a folder scan takes.
 EXTENSIONS = (".pdf", ".docx", ".doc", ".txt", ".md", ".html", ".pptx", ".xlsx")
 TEXT_EXTENSIONS = (".txt", ".md", ".html", ".htm")
+ERROR = "Error"
+#: Fixed value: the longer side of a page image at most.
+IMAGE_SIDE = 1024
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 
 
@@ -35,11 +38,15 @@ def texts(files: DataFrame) -> DataFrame:
     return own.withColumn("document_type", file_type(F.col("filename"), F.substring("text", 1, 5000)))
 
 
-def parsed(files: DataFrame, parser: Callable[[bytes, str], list[tuple[str, int, str]]]) -> DataFrame:
-    """(document_id, element_index, element_type, page_number, text) by a parser: parser(content, filename) -> [(type, page, text)].
+def parsed(files: DataFrame, parser: Callable[[bytes, str], list[tuple[str, int, str]]] | None = None) -> DataFrame:
+    """(document_id, element_index, element_type, page_number, text) by a parser: parser(content, filename) -> [(type, page, text)]; without one by `parsers.parse`.
 
-    The parser runs on the executors, over batches; optional libraries are its own.
+    The parser runs on the executors, over batches; optional libraries are its own. A file that it fails on gives one row
+    of type "Error" with index -1 and what went wrong as text, and the other files go on.
     """
+    from .parsers import parse
+
+    own = parser or parse
 
     def run(batches):
         import pyarrow as pa
@@ -47,8 +54,12 @@ def parsed(files: DataFrame, parser: Callable[[bytes, str], list[tuple[str, int,
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for key, name, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for i, (kind, page, text) in enumerate(parser(content, name)):
-                    for column, x in zip(out, (key, i, kind, page, text), strict=True):
+                try:
+                    rows = [(key, i, *element) for i, element in enumerate(own(content, name))]
+                except Exception as error:  # whatever a broken file leads to; it is in the row
+                    rows = [(key, -1, ERROR, None, f"{type(error).__name__}: {error}")]
+                for row in rows:
+                    for column, x in zip(out, row, strict=True):
                         column.append(x)
             kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["document_id", "element_index", "element_type", "page_number", "text"])
@@ -56,6 +67,55 @@ def parsed(files: DataFrame, parser: Callable[[bytes, str], list[tuple[str, int,
     return files.select("document_id", "filename", "content").mapInArrow(run, "document_id string, element_index long, element_type string, page_number long, text string")
 
 
+def joined_texts(files: DataFrame, elements: DataFrame) -> DataFrame:
+    """(document_id, filename, text, error) of every file: its elements joined by blank lines, or why it has none."""
+    row = F.struct("element_index", "text")
+    good = F.transform(F.array_sort(F.collect_list(F.when(F.col("element_type") != ERROR, row))), lambda e: e.text)
+    by_file = elements.groupBy(F.col("document_id").alias("of")).agg(F.array_join(good, "\n\n").alias("text"), F.max(F.when(F.col("element_type") == ERROR, F.col("text"))).alias("error"))
+    return files.select("document_id", "filename").join(by_file, F.col("document_id") == F.col("of"), "left").select("document_id", "filename", F.when(F.col("error").isNull(), F.coalesce("text", F.lit(""))).alias("text"), "error")
+
+
+def page_boundaries(elements: DataFrame) -> DataFrame:
+    """(document_id, position, page_number): where each element begins in the joined text, for the page of a chunk."""
+    order = Window.partitionBy("document_id").orderBy("element_index")
+    before = F.coalesce(F.sum(F.length("text") + 2).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return elements.where(F.col("element_type") != ERROR).select("document_id", before.cast("long").alias("position"), "page_number")
+
+
+def fitted(width: Column, height: Column, most: int = IMAGE_SIDE) -> Column:
+    """Width and height of a page image scaled down, never up, until its longer side is at most `most`."""
+    share = F.least(F.lit(1.0), F.lit(float(most)) / F.greatest(width, height))
+    side = lambda x: F.greatest(F.lit(1), F.round(x * share).cast("int"))
+    return F.struct(side(width).alias("width"), side(height).alias("height"))
+
+
+def page_images(files: DataFrame, renderer: Callable[[bytes, str], list[tuple[int, int, int, bytes]]]) -> DataFrame:
+    """(document_id, page_number, width, height, image, target) by a renderer: renderer(content, filename) -> [(page, width, height, image bytes)].
+
+    Rendering needs a library of the caller's; target is the size that the visual embedder takes. Files that the
+    renderer fails on have no pages.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for key, name, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                try:
+                    rows = [(key, *page) for page in renderer(content, name)]
+                except Exception:  # as documented: no pages
+                    rows = []
+                for row in rows:
+                    for column, x in zip(out, row, strict=True):
+                        column.append(x)
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["document_id", "page_number", "width", "height", "image"])
+
+    pages = files.select("document_id", "filename", "content").mapInArrow(run, "document_id string, page_number long, width long, height long, image binary")
+    return pages.withColumn("target", fitted(F.col("width"), F.col("height")))
+
+
 def html_text(html: Column) -> Column:
     """Text of HTML: comments, scripts and styles go, blocks end lines, other tags go, the common entities are decoded."""
     out = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
