@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN_DIR: list[str] = []
+from ..sources.staging import shared_dir
+
 _CREATED: list[str] = []
 
 
@@ -18,17 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not _OWN_DIR:
-            _OWN_DIR.append(tempfile.mkdtemp(prefix="corpusmill-"))
-            atexit.register(shutil.rmtree, _OWN_DIR[0], ignore_errors=True)
-        folder = f"file://{_OWN_DIR[0]}"
-    return folder.rstrip("/")
-
-
 def new_path(spark: SparkSession, kind: str) -> str:
     """A path in the shared folder that nothing uses yet."""
     _CREATED.append(f"{shared_dir(spark)}/corpusmill-{kind}-{uuid.uuid4().hex}")
