@@ -11,13 +11,13 @@ from corpusmill.llm.queries import WORD_BPE, tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some language; texts that are null or have no letter go."""
+    """Documents in the languages of docs, whose lang is filled in where it is null; texts that are null, have no letter or are in none of the languages go."""
     return langid.keep_known(docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without their source's boilerplate lines, copies of a text counted once; n_chars follows the text."""
-    clean = line_dedup.drop_boilerplate(docs, once=True)
+    clean = line_dedup.drop_boilerplate(docs, once=True, counts=False)
     return clean.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
