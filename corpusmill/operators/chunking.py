@@ -5,6 +5,8 @@ Every document is chunked within its row; nothing is shuffled. Chunks of a docum
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from .structure import headings, patterns_for
 #: Sizes in words (packing, library chunkers), characters (legacy packing) and their least sizes.
 WORDS, OVERLAP, LEAST_WORDS = 512, 128, 50
 LEGACY_CHARS, LEGACY_OVERLAP_WORDS = 400, 50
+SIMPLE_WORDS, SIMPLE_OVERLAP = 400, 50
 LEAST_SECTION, LEAST_SENTENCE, DOCUMENT_CHARS, SECTION_CHARS = 50, 20, 2000, 2000
 PARAGRAPH_BREAK = r"\n\s*\n"
 SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-Z])|(?<=\n)\s*(?=[A-Z0-9])"
@@ -179,6 +182,97 @@ def structured_chunks(docs: DataFrame, document_type: str = "general", most: int
     )
 
 
+def section_windows(docs: DataFrame, document_type: str = "general", size: int = WORDS, overlap: int = OVERLAP, least: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Token windows inside each section; a text without sections is cut as a whole. Other columns aren't kept.
+
+    Sections under 50 characters, and windows under `least` words, are left out. Chunks are numbered through the
+    document; the parent's id is <document>_sec_<number of the document's chunks before the section>. Result: (id,
+    chunk_index, chunk_id, parent_id, section_title, section_number, section_start, n_words, text).
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    none = F.lit(None).cast("string")
+    body = lambda s: F.substring(text, (s.start + 1).cast("int"), (s.end - s.start).cast("int"))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), text.alias("body"), none.alias("title"), none.alias("number"), F.lit(False).alias("sectioned")))
+
+    def cut(found: Column) -> Column:
+        kept = F.filter(found, lambda s: F.length(strip(body(s))) >= LEAST_SECTION)
+        return F.when(F.size(found) > 0, F.transform(kept, lambda s: F.struct(s.start.alias("start"), body(s).alias("body"), s.title.alias("title"), s.number.alias("number"), F.lit(True).alias("sectioned")))).otherwise(whole)
+
+    each = docs.select(F.col(id_col), F.posexplode(let(headings(text, patterns_for(document_type)), cut)).alias("section", "s")).select(id_col, "section", "s.*")
+    cuts = each.withColumn("key", F.struct(F.col(id_col).alias("own"), "section", "start", "title", "number", "sectioned"))
+    windows = word_windows(cuts, size, overlap, "key", "body").where(F.col("n_words") >= least).select("key.*", F.col("chunk_index").alias("k"), "n_words", "text")
+    order = Window.partitionBy("own").orderBy("section", "k")
+    numbered = windows.withColumn("chunk_index", (F.row_number().over(order) - 1).cast("long"))
+    before = F.min("chunk_index").over(Window.partitionBy("own", "section"))
+    name = lambda part, i: F.concat(F.col("own").cast("string"), F.lit(part), i.cast("string"))
+    return numbered.withColumn("before", before).select(
+        F.col("own").alias(id_col), "chunk_index", name("_chunk_", F.col("chunk_index")).alias("chunk_id"), F.when(F.col("sectioned"), name("_sec_", F.col("before"))).alias("parent_id"),
+        F.col("title").alias("section_title"), F.col("number").alias("section_number"), F.col("start").alias("section_start"), "n_words", "text",
+    )
+
+
+def adaptive_chunks(docs: DataFrame, embed: Callable[[DataFrame], DataFrame], tier_col: str = "tier", threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each document cut by the strategy of its quality tier, unknown tiers by sentences: (id, chunk_index, text, n_words, chunk_strategy, quality_level).
+
+    embed gives frames with a column text the column vec; only sentences of tiers that need vectors come to it. The
+    skipping strategy joins over up to two pieces that don't fit.
+    """
+    tier = F.lower(F.coalesce(F.col(tier_col), F.lit("")))
+    own = docs.select(F.col(id_col), F.col(text_col), F.col(tier_col).alias("quality_level"), F.when(tier.isin(*STRATEGIES), strategy(tier)).otherwise("sentence").alias("chunk_strategy"))
+    of = lambda s: own.where(F.col("chunk_strategy") == s)
+    pieces = lambda s: embed(sentence_chunks(of(s), 1, id_col, text_col).select(id_col, F.col("sentence_index").alias("piece_index"), "text"))
+    columns = [id_col, "chunk_index", "text", "n_words"]
+    parts = [
+        token_chunks(of("token"), id_col=id_col, text_col=text_col).select(*columns), sentence_packed(of("sentence"), id_col=id_col, text_col=text_col).select(*columns),
+        semantic_chunks(pieces("semantic"), threshold, id_col=id_col).select(*columns), semantic_chunks(pieces("sdpm"), threshold, skip=2, id_col=id_col).select(*columns),
+    ]
+    out = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+    known = own.select(F.col(id_col).alias("__cm_of"), "chunk_strategy", "quality_level").dropDuplicates(["__cm_of"])
+    return out.join(known, F.col(id_col) == F.col("__cm_of")).drop("__cm_of")
+
+
+#: The families of patterns by document type where structure is looked for.
+LEGAL_TYPES, FINANCIAL_TYPES = ("contract", "irc_code", "building_code"), ("financial_report",)
+
+
+def legacy_route(config_strategy: Column, document_type: Column) -> Column:
+    """How the legacy pipeline cuts a document: by legal, financial or general sections, in simple windows, or in packed paragraphs."""
+    by_type = F.when(document_type.isin(*LEGAL_TYPES), "legal").when(document_type.isin(*FINANCIAL_TYPES), "financial").otherwise("general")
+    return F.when(config_strategy == "hierarchical", by_type).when(config_strategy == "simple", "simple").otherwise("standard")
+
+
+def legacy_chunks(docs: DataFrame, config_col: str = "chunking_strategy", type_col: str = "document_type", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents cut as the legacy pipeline routes them: (id, chunk_index, level, text, n_words, route)."""
+    own = docs.select(F.col(id_col), F.col(text_col), legacy_route(F.col(config_col), F.col(type_col)).alias("route"))
+    of = lambda r: own.where(F.col("route") == r)
+    out = None
+    for route in ("legal", "financial", "general"):
+        part = structured_chunks(of(route), route, id_col=id_col, text_col=text_col).select(id_col, "chunk_index", "level", "text", F.col("token_count").alias("n_words"), F.lit(route).alias("route"))
+        out = part if out is None else out.unionAll(part)
+    flat = F.lit("paragraph").alias("level")
+    simple = word_windows(of("simple"), SIMPLE_WORDS, SIMPLE_OVERLAP, id_col, text_col).select(id_col, "chunk_index", flat, "text", "n_words", F.lit("simple").alias("route"))
+    standard = packed_chunks(of("standard"), id_col=id_col, text_col=text_col).select(id_col, "chunk_index", flat, "text", "n_words", F.lit("standard").alias("route"))
+    return out.unionAll(simple).unionAll(standard)
+
+
+def with_context(results: DataFrame, chunks: DataFrame, siblings: int = 1) -> DataFrame:
+    """What stands around each result(query_id, id): (query_id, id, role, context_id, distance, text) with role parent, sibling or self.
+
+    chunks(id, parent_id, chunk_index, text). Siblings are the chunks of the same parent up to `siblings` places before
+    and behind, in the order of chunk_index; a chunk without a parent has none. Results that aren't chunks give nothing.
+    """
+    place = F.row_number().over(Window.partitionBy("parent_id").orderBy("chunk_index", "id"))
+    own = chunks.select("id", "parent_id", "chunk_index", "text")
+    placed = own.where("parent_id is not null").withColumn("place", place).select(F.col("id").alias("c"), F.col("parent_id").alias("p"), "place", F.col("text").alias("t"))
+    hits = results.select("query_id", "id").distinct()
+    found = hits.join(own, "id")
+    parents = found.join(own.select(F.col("id").alias("c"), F.col("text").alias("t")), F.col("parent_id") == F.col("c")).select("query_id", "id", F.lit("parent").alias("role"), F.col("c").alias("context_id"), F.lit(0).alias("distance"), F.col("t").alias("text"))
+    at = hits.join(placed.select("c", "p", "place"), F.col("id") == F.col("c")).select("query_id", "id", F.col("p").alias("of"), F.explode(F.filter(F.sequence(F.lit(-siblings), F.lit(siblings)), lambda d: d != 0)).alias("distance"), "place")
+    wanted = at.withColumn("target", F.col("place") + F.col("distance")).drop("place")
+    near = wanted.join(placed, (F.col("of") == F.col("p")) & (F.col("target") == F.col("place"))).select("query_id", "id", F.lit("sibling").alias("role"), F.col("c").alias("context_id"), "distance", F.col("t").alias("text"))
+    return found.select("query_id", "id", F.lit("self").alias("role"), F.col("id").alias("context_id"), F.lit(0).alias("distance"), "text").unionAll(parents).unionAll(near)
+
+
 def with_children(chunks: DataFrame) -> DataFrame:
     """chunks with children_ids: the ids of the chunks whose parent each is, in order."""
     children = chunks.where("parent_id is not null").groupBy(F.col("parent_id").alias("of")).agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id"))), lambda c: c.chunk_id).alias("children_ids"))

@@ -124,12 +124,12 @@ def table_line_columns(spark, d):
 
 
 def table_extract(spark, d):
-    """Rows only: tables of all texts."""
+    """Tables of all texts."""
     return tables.extract(_corpus(spark, d)).select("doc_id", "table_id", "char_start", "char_end", F.round("confidence", 6).alias("confidence"), "num_rows", "num_cols", "table_type", "title", "structured_text", "semantic_description")
 
 
 def table_chunks(spark, d):
-    """Rows only: two chunks for each table."""
+    """Two chunks for each table."""
     return tables.table_chunks(tables.extract(_corpus(spark, d))).drop("headers")
 
 
@@ -211,11 +211,11 @@ select doc_id, {sql.first_max(scores, 'other')} as contract_type, round(least(1.
   contains(low, 'non-compete') or contains(low, 'noncompete') as has_non_compete, contains(low, 'arbitration') as has_arbitration from p"""
 
 
-def _sections() -> str:
-    patterns = structure.patterns_for("general")
-    which = "case " + " ".join(f"when regexp_matches(x, {sql.quoted('(?i)' + p)}) then {k}" for k, p in enumerate(patterns)) + " end"
-    title = "case p " + " ".join(f"when {k} then regexp_extract(x, {sql.quoted('(?i)' + p)}, 0)" for k, p in enumerate(patterns)) + " end"
-    number = "case p " + " ".join(f"when {k} then regexp_extract(x, {sql.quoted('(?i)' + p)}, {min(2, structure._groups(p))})" for k, p in enumerate(patterns)) + " end"
+def _sections(document_type: str = "general", patterns=None, flag: str = "(?i)") -> str:
+    patterns = patterns or structure.patterns_for(document_type)
+    which = "case " + " ".join(f"when regexp_matches(x, {sql.quoted(flag + p)}) then {k}" for k, p in enumerate(patterns)) + " end"
+    title = "case p " + " ".join(f"when {k} then regexp_extract(x, {sql.quoted(flag + p)}, 0)" for k, p in enumerate(patterns)) + " end"
+    number = "case p " + " ".join(f"when {k} then regexp_extract(x, {sql.quoted(flag + p)}, {min(2, structure._groups(p))})" for k, p in enumerate(patterns)) + " end"
     return rf"""with {_C}, l as (select doc_id, length(text) as n, unnest(range(0, len(string_split(text, chr(10))))) as line_number, unnest(string_split(text, chr(10))) as raw from corpus),
 o as (select *, {sql.strip('raw')} as x, coalesce(sum(length(raw) + 1) over (partition by doc_id order by line_number rows between unbounded preceding and 1 preceding), 0)::bigint as start from l),
 m as (select *, {which} as p from o where x <> ''), h as (select *, {title} as title, {number} as number from m where p is not null)
@@ -226,6 +226,48 @@ def _cell_type() -> str:
     return "case " + " ".join(f"when regexp_matches(cell, {sql.quoted(p)}) then '{n}'" for n, p in tables.CELL_TYPES) + f" when lower(cell) in ({', '.join(map(sql.quoted, tables.BOOLEANS))}) then 'boolean' else 'text' end"
 
 
+def _tables() -> str:
+    """CTEs that end in ta(doc_id, k, start, end, confidence, rows, kind, title, structured_text, description)."""
+    t = tables
+    strip = sql.strip
+    hints = " union all ".join(rf"select doc_id, {i} as p, string_split(regexp_replace(text, {sql.quoted('(' + p + ')' if not p.startswith('(?m)') else '(?m)(' + p[4:] + ')')}, chr(57344) || '\1', 'g'), chr(10)) as marked from corpus" for i, p in enumerate(t.INDICATORS))
+    filled = r"list_filter({}, lambda y: regexp_matches(y, '\S'))"
+    columns = rf"case when contains(x, '|') then len({filled.format(chr(115) + 'tring_split(x, ' + chr(39) + '|' + chr(39) + ')')}) when contains(x, chr(9)) then len({filled.format('string_split(x, chr(9))')}) else len(list_filter(string_split_regex({strip('x')}, '\s{{2,}}'), lambda y: y <> '')) end"
+    is_table = rf"regexp_matches(x, '\S') and (contains(x, '|') or length(x) - length(replace(x, chr(9), '')) >= 2 or len(string_split_regex({strip('x')}, '\s{{3,}}')) >= 3 or regexp_matches(x, {sql.quoted(t.BORDER)}))"
+    cell = "case " + " ".join(f"when regexp_matches(c, {sql.quoted(p)}) then '{n}'" for n, p in t.CELL_TYPES) + f" when lower(c) in ({', '.join(map(sql.quoted, t.BOOLEANS))}) then 'boolean' else 'text' end"
+    count = lambda mark: f"(length(body) - length(replace(body, {mark}, '')))"
+    cells = lambda split: f"list_filter(list_transform({split}, lambda y: {strip('y')}), lambda y: y <> '')"
+    part = lambda *names: f"len(list_filter(kinds, lambda k: k in ({', '.join(map(sql.quoted, names))}))) / len(kinds)"
+    by_header = " ".join(f"when list_has_any(list_transform(rows_[1], lambda y: lower(y)), {sql.listed(words)}) then '{n}'" for n, words in t.HEADER_TYPES)
+    said = "case kind " + " ".join(f"when '{n}' then {sql.quoted(w)}" for n, w in t.DESCRIPTIONS.items()) + " end"
+    quoted = "array_to_string(list_transform({}, lambda y: '\"' || y || '\"'), ',')"
+    return rf"""with recursive {_C},
+li as (select doc_id, len(string_split(text, chr(10))) as n, unnest(range(0, len(string_split(text, chr(10))))) as i, unnest(string_split(text, chr(10))) as x from corpus),
+lk as (select *, case when {is_table} then 2 when regexp_matches(x, '\S') then 0 else 1 end as k, {columns} as cols, coalesce(sum(length(x) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as before from li),
+hm as ({hints}), hl as (select doc_id, p, unnest(range(0, len(marked))) as i, unnest(marked) as x from hm), h1 as (select doc_id, i, min(p) as p from hl where contains(x, chr(57344)) group by 1, 2), ho as (select *, row_number() over (partition by doc_id order by p, i) as o from h1),
+lh as (select h.doc_id, h.o, h.i as s, greatest(coalesce(max(l.i) filter (where l.k = 0 and l.i < h.i), -1), greatest(0, h.i - {t.REACH_UP})) as low, least(coalesce(min(l.i) filter (where l.k = 0 and l.i > h.i), any_value(l.n)), least(any_value(l.n), h.i + {t.REACH_DOWN})) as high from ho h join lk l on h.doc_id = l.doc_id group by 1, 2, 3),
+nr as (select h.doc_id, h.o, coalesce(min(l.i) filter (where l.k = 2 and l.i > h.low and l.i < h.s), h.s) as a, coalesce(max(l.i) filter (where l.k = 2 and l.i > h.s and l.i < h.high), h.s) as b from lh h join lk l on h.doc_id = l.doc_id group by h.doc_id, h.o, h.s),
+n2 as (select doc_id, a, b, row_number() over (partition by doc_id order by o) - 1 as ord from nr where b - a >= 2),
+st as (select doc_id, -1 as i from corpus union all select doc_id, i from lk where k = 0 union all select distinct doc_id, n from lk), ed as (select doc_id, i as a, lead(i) over (partition by doc_id order by i) as b from st),
+sp as (select e.doc_id, min(l.i) filter (where l.k = 2) as a, e.b - 1 as b, e.a as at_ from ed e join lk l on e.doc_id = l.doc_id and l.i > e.a and l.i < e.b where e.b - e.a > 3 group by e.doc_id, e.a, e.b), s2 as (select *, row_number() over (partition by doc_id order by at_) - 1 as ord from sp where a is not null),
+bo as (select doc_id, a, b, ord, true as hinted from n2 union all select doc_id, a, b, ord + 1000000, false from s2),
+bl as (select b.doc_id, b.ord, b.hinted, b.a, b.b, string_agg(l.x, chr(10) order by l.i) as body, min(l.before) as start, max(l.before + length(l.x) + 1) as end_, list(l.cols::double) filter (where regexp_matches(l.x, '\S')) as counts from bo b join lk l on b.doc_id = l.doc_id and l.i between b.a and b.b group by all),
+bc as (select *, case when hinted then least(1.0::double, 0.5::double + least(0.2::double, len(string_split({strip('body')}, chr(10))) * 0.02::double) + case when {count("'|'")} > len(string_split({strip('body')}, chr(10))) then 0.15::double else 0 end + case when regexp_matches(body, '\$[\d,]+|\d+%|\d{{1,2}}/\d{{1,2}}/\d{{2,4}}') then 0.1::double else 0 end) else least(0.9::double, 0.5::double + len(counts) * 0.05::double) end as confidence, case when hinted then end_ else start + length(body) end as stop from bl),
+ca as (select doc_id, row_number() over (partition by doc_id order by start, ord) as i, {{'start': start, 'stop': stop, 'body': body, 'confidence': confidence}} as r from bc where hinted or (len(counts) >= 3 and list_var_pop(counts) < 2)),
+ke(doc_id, i, last, out) as (select doc_id, 1, r, [r] from ca where i = 1
+  union all select k.doc_id, k.i + 1, case when c.r.start >= k.last.stop or c.r.confidence > k.last.confidence then c.r else k.last end, case when c.r.start >= k.last.stop then list_append(k.out, c.r) when c.r.confidence > k.last.confidence then list_append(k.out[1:len(k.out) - 1], c.r) else k.out end from ke k join ca c on k.doc_id = c.doc_id and c.i = k.i + 1),
+fi as (select doc_id, list_filter(arg_max(out, i), lambda r: r.confidence >= {t.LEAST_CONFIDENCE}) as out from ke group by 1),
+ex as (select doc_id, unnest(range(0, len(out))) as k, unnest(out) as r from fi), eb as (select doc_id, k, r.start as start, r.stop as "end", r.confidence as confidence, r.body as body from ex),
+pr as (select *, list_filter(string_split({strip('body')}, chr(10)), lambda x: not regexp_matches(x, {sql.quoted(t.BORDER)})) as own, len(string_split({strip('body')}, chr(10))) as m from eb),
+rw as (select *, list_filter(list_transform(own, lambda x: case when {count("'|'")} > m then {cells("string_split(x, '|')")} when {count('chr(9)')} > m then {cells('string_split(x, chr(9))')} else {cells("string_split_regex(x, " + chr(39) + chr(92) + "s{2,}" + chr(39) + ")")} end), lambda y: len(y) > 0) as rows_ from pr),
+ty as (select *, list_transform(flatten(rows_), lambda c: {cell}) as kinds from rw),
+tk as (select *, case when len(kinds) = 0 then 'data' when {part('currency', 'number')} > 0.5 then 'financial' when {part('boolean')} > 0.2 then 'compliance' when {part('date')} > 0.2 then 'schedule' {by_header} else 'data' end as kind from ty),
+tp as (select *, list_transform(rows_[2], lambda y, j: case when j <= len(rows_[1]) then rows_[1][j] || ': ' || y end)[1:len(rows_[1])][1:4] as pairs from tk),
+ta as (select doc_id, k, start, "end", confidence, rows_, kind, nullif(regexp_extract(substr(body, 1, 200), {sql.quoted(t.TITLE)}, 1), '') as title,
+  case when len(rows_) = 0 then '' else {quoted.format('rows_[1]')} || chr(10) || array_to_string(list_transform(rows_, lambda r: {quoted.format('r')}), chr(10)) end as structured_text,
+  'This is a ' || {said} || '.' || case when len(rows_[1]) > 0 then ' Columns: ' || array_to_string(rows_[1], ', ') || '.' else '' end || ' Contains ' || greatest(len(rows_) - 1, 0) || ' data rows.' || case when len(pairs) > 0 then ' Sample row: ' || array_to_string(pairs, ', ') || '.' else '' end as description from tp)"""
+
+
 def _relations() -> str:
     g = graph
     parts = " union all ".join(f"select doc_id, {k} as p, '{kind}' as relation_type, unnest(range(0, len(regexp_extract_all(text, {sql.quoted('(?i)' + p)})))) as i, unnest(regexp_extract_all(text, {sql.quoted('(?i)' + p)}, 1)) as reference, unnest(regexp_extract_all(text, {sql.quoted('(?i)' + p)}, 0)) as matched from corpus" for k, (kind, p) in enumerate(g.PATTERNS))
@@ -263,6 +305,8 @@ select doc_id, by_text, {_ordered('lower(name)', metadata.ROUTE_NAMES, sql.any_h
     "table_line_columns": rf"""with {_C}, l as (select doc_id, unnest(range(0, len(string_split(text, chr(10))))) as line, unnest(string_split(text, chr(10))) as x from corpus)
 select doc_id, line, case when contains(x, '|') then len(list_filter(string_split(x, '|'), lambda p: regexp_matches(p, '\S'))) when contains(x, chr(9)) then len(list_filter(string_split(x, chr(9)), lambda p: regexp_matches(p, '\S'))) else len(list_filter(string_split_regex({sql.strip('x')}, '\s{{2,}}'), lambda p: p <> '')) end as columns
 from l where regexp_matches(x, '\S') and (contains(x, '|') or length(x) - length(replace(x, chr(9), '')) >= 2 or len(string_split_regex({sql.strip('x')}, '\s{{3,}}')) >= 3 or regexp_matches(x, '^[\s\-|+]+$'))""",
+    "table_extract": _tables() + " select doc_id, doc_id || '_table_' || k as table_id, start::bigint as char_start, \"end\"::bigint as char_end, round(confidence, 6) as confidence, len(rows_)::bigint as num_rows, coalesce(list_max(list_transform(rows_, lambda r: len(r))), 0)::bigint as num_cols, kind as table_type, title, structured_text, description as semantic_description from ta",
+    "table_chunks": _tables() + " select doc_id, doc_id || '_table_' || k || '_structured' as chunk_id, doc_id || '_table_' || k as table_id, 'table_structured' as type, kind as table_type, structured_text as text from ta union all select doc_id, doc_id || '_table_' || k || '_semantic', doc_id || '_table_' || k, 'table_semantic', kind, description from ta",
     "relation_extract": _relations() + " select source_id, ord, relation_type, reference, matched, round(confidence, 6) as confidence from relations",
     "relation_resolve": _relations() + """, known as (select * from (values ('Section 15', 'd15', 0), ('7701', 'irc7701', 1), ('master services agreement', 'msa', 2), ('A', 'exA', 3)) v(identifier, document_id, o)),
 r as (select *, coalesce((select arg_min(document_id, o) from known k where contains(lower(reference), lower(k.identifier))), 'unresolved:' || reference) as target_id from relations)

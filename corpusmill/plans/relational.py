@@ -217,6 +217,13 @@ from customer o left join docs d on o.c_custkey = d.organization_id left join ch
     "graph_shortest_chain": f"with recursive {_EDGES}, w(start, node, hops, path) as (select 's' || s_suppkey, 's' || s_suppkey, 0::bigint, '' from supplier union all select w.start, e.t, w.hops + 1, case when w.path = '' then e.t else w.path || '>' || e.t end from w join edges e on w.node = e.s where w.hops < 5) select start, node as goal, min(hops) as hops, arg_min(path, hops) as path from w where node like 'r%' group by 1, 2",
     "graph_stats": f"with {_EDGES}, t as (select kind, count(*) as n from edges group by 1) select (select count(*) from (select s from edges union select t from edges)) as total_documents, sum(n)::bigint as total_relations, 0::bigint as unresolved_references, round(sum(n) / (select count(*) from (select s from edges union select t from edges)), 6) as avg_relations, string_agg(kind || '=' || n, ';' order by kind) as relations_by_type from t",
     "graph_context": f"with {_EDGES}, b as (select s as id, t as other, 1 as o, 0 as i from edges union all select t, s, 0, 1 from edges) select id, sum(o)::bigint as outgoing, sum(i)::bigint as incoming, count(distinct other) as related from b group by 1",
+    "graph_augment": f"""with {_EDGES}, r as (select n_regionkey::bigint as query_id, 'n' || n_nationkey as id, n_nationkey // 5 + 1 as rank from nation), starts as (select distinct id as start from r where rank <= 5),
+h1 as (select start, b as node, arg_min(confidence, {{'d': direction, 'o': ord}}) as c, min({{'d': direction, 'o': ord}}) as by_ from starts join steps on start = a where b <> start group by 1, 2), f1 as (select *, row_number() over (partition by start order by by_) as found from h1),
+h2 as (select f.start, s.b as node, arg_min((f.c + s.confidence) / 2, {{'f': f.found, 'd': s.direction, 'o': s.ord}}) as score from f1 f join steps s on f.node = s.a where s.b <> f.start and not exists (select 1 from f1 x where x.start = f.start and x.node = s.b) group by 1, 2),
+near as (select start, node, 1 as hops, c as score from f1 union all select start, node, 2, score from h2),
+fresh as (select r.query_id, n.node as id, r.id as source_id, n.score, r.rank, n.hops from r join near n on r.id = n.start where r.rank <= 5 and not exists (select 1 from r x where x.query_id = r.query_id and x.id = n.node)),
+cut as (select *, row_number() over (partition by query_id order by score desc, rank, hops, id) as ord from fresh), few as (select *, row_number() over (partition by query_id, id order by ord) as n from cut where ord <= 3)
+select query_id, id, source_id, round(score, 6) as augmentation_score, ord from few where n = 1""",
     "html_elements": f"with l as (select page_id, list_filter(string_split({_HTML}, chr(10)), lambda x: x <> '') as parts from pages) select page_id, unnest(range(0, len(parts))) as element_index, md5(unnest(parts)) as digest from l",
     "events_tumbling": "select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
     "events_sliding": "with e as (select unnest([date_trunc('hour', ts), date_trunc('hour', ts) - interval 1 hour]) as window_start, event_type, value from events) select window_start, event_type, count(*) as n, round(sum(value), 4) as total from e group by 1, 2",

@@ -103,16 +103,6 @@ def chunk_hierarchy_children(spark, d):
     return out.select("doc_id", "chunk_index", "chunk_id", "parent_id", F.array_join("children_ids", ",").alias("children_ids"))
 
 
-def structured_chunks(spark, d):
-    """Rows only: chunks of all documents with their structure."""
-    return chunking.structured_chunks(_docs(spark, d))
-
-
-def legacy_tree(spark, d):
-    """Rows only: the four-level tree of all documents."""
-    return chunking.legacy_tree(_docs(spark, d))
-
-
 def semantic_chunks(spark, d):
     """Rows only: sentences joined by the similarity of hashed word vectors."""
     from ..sources.files import embedded, hashing_embedder
@@ -128,7 +118,7 @@ def document_structure(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     tokenize_counts, stable_ids, exact_dup_hash, quality_scores, quality_tier_counts, quality_vs_label, quality_metrics, quality_router, word_window_chunks, token_chunks, greedy_line_pack, sentence_chunks,
-    chunk_strategy_route, chunk_totals, chunk_page_asof, chunk_hierarchy_children, structured_chunks, legacy_tree, semantic_chunks, document_structure,
+    chunk_strategy_route, chunk_totals, chunk_page_asof, chunk_hierarchy_children, semantic_chunks, document_structure,
 )}
 
 _W = sql.words("text")
