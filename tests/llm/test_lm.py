@@ -6,40 +6,102 @@ import pytest
 from corpusmill.llm import lm
 
 
-def test_gradient_is_the_derivative():
-    rng = np.random.default_rng(0)
-    around, classes = rng.integers(0, lm.CLASSES + 1, (50, 4)).astype(np.int32), rng.integers(0, lm.CLASSES, 50)
+def plain_log_p(net, around, identity):
+    """The decisions on the way from the root to the identity's leaf, one after the other."""
+    hidden = np.tanh(sum(net.embed[x].astype(float) * net.place[p] for p, x in enumerate(around)))
+    node, total = 1, 0.0
+    for level in range(lm.BITS):
+        right = identity >> (lm.BITS - 1 - level) & 1
+        logit = float(net.node[node] @ hidden + net.bias[node])
+        total -= np.log1p(np.exp(-logit if right else logit))
+        node = 2 * node + right
+    assert node == lm.BUCKETS + identity
+    return total
+
+
+def trained_a_little(seed=0):
+    rng = np.random.default_rng(seed)
     net = lm.Network()
-    before = net.flat().astype(np.float64)
-    net.learn(around, classes, 1.0)
-    step = before - net.flat()
-    for at in np.argsort(-np.abs(step))[:5]:
-        moved = []
-        for h in (-1e-2, 1e-2):
-            flat = before.copy()
-            flat[at] += h
-            moved.append(-lm.Network(flat).log_p(around, classes).mean(dtype=np.float64))
-        assert (moved[1] - moved[0]) / 2e-2 == pytest.approx(step[at], rel=0.05, abs=1e-4)
+    around, ids = rng.integers(0, 50, (400, 4)).astype(np.int32), rng.integers(0, 50, 400).astype(np.int32) * 600
+    for _ in range(5):
+        net.learn(around, ids)
+    return net, around, ids
+
+
+def test_gradient_is_the_derivative():
+    net, around, ids = trained_a_little()
+    arrays = (net.embed, net.place, net.node, net.bias)
+    for own, (rows, change) in zip(arrays, net.gradients(around, ids), strict=True):
+        assert len(set(rows.tolist())) == len(rows)
+        flat = change.reshape(len(rows), -1)
+        for k in np.argsort(-np.abs(flat).ravel())[:4].tolist():
+            at = (rows[k // flat.shape[1]], *([k % flat.shape[1]] if own.ndim > 1 else []))
+            held, moved = own[at], []
+            for h in (-1e-2, 1e-2):
+                own[at] = held + h
+                moved.append(-net.log_p(around, ids).sum())
+            own[at] = held
+            assert (moved[1] - moved[0]) / 2e-2 == pytest.approx(flat.ravel()[k], rel=0.05, abs=1e-3)
 
 
 def test_score_is_the_sum_over_places():
     import pyarrow as pa
-    import xxhash
 
     rng = np.random.default_rng(1)
     texts = [" ".join(f"W{i}" for i in rng.integers(0, 60, n)) for n in (40, 1, 2, 0, 25)] + [None, "  padded text \n"]
-    model = lm.Model(None, rng.integers(0, 50, lm.BUCKETS).astype(float))
+    model = lm.Model(trained_a_little()[0].flat())
     counts, sums = model.scores(pa.array(texts))
     for text, n, got in zip(texts, counts, sums, strict=True):
-        ids = [xxhash.xxh32_intdigest(w.encode(), lm.SEED) & (lm.BUCKETS - 1) for w in (text or "").lower().split()]
-        total = 0.0
-        for i, x in enumerate(ids):
-            around = np.array([[ids[i + p] & (lm.CLASSES - 1) if 0 <= i + p < len(ids) else lm.CLASSES for p in lm.PLACES]], np.int32)
-            total += float(model.net.log_p(around, np.array([x & (lm.CLASSES - 1)]))[0]) + model.inside[x]
-        assert n == len(ids) and got == pytest.approx(total, rel=1e-5)
-    for c in range(3):
-        own = np.arange(lm.BUCKETS)[np.arange(lm.BUCKETS) & (lm.CLASSES - 1) == c]
-        assert np.exp(model.inside[own]).sum() == pytest.approx(1)
+        ids = lm.identities(pa.array([" ".join((text or "").lower().split())]))[0].tolist()
+        want = sum(plain_log_p(model.net, [ids[i + p] if 0 <= i + p < len(ids) else lm.BUCKETS for p in lm.PLACES], x) for i, x in enumerate(ids))
+        assert n == len(ids) == len((text or "").split()) and got == pytest.approx(want, rel=1e-5)
+
+
+def test_probabilities_of_all_identities_sum_to_one():
+    net, around, _ = trained_a_little()
+    every = np.arange(lm.BUCKETS, dtype=np.int32)
+    assert np.exp(net.log_p(np.repeat(around[:1], lm.BUCKETS, 0), every)).sum() == pytest.approx(1, rel=1e-4)
+
+
+def test_context_changes_the_word_within_any_group():
+    """Both sides of a place matter to every bit of a prediction: two contexts tell any two identities apart after training."""
+    net = lm.Network()
+    around = np.array([[1, 2, 3, 4], [5, 6, 7, 8]] * 50, np.int32)
+    ids = np.array([0b000000000000010, 0b000000000000011] * 50, np.int32)  # they part at the last level
+    for _ in range(60):
+        net.learn(around, ids)
+    a, b = (net.log_p(around[:2], ids[k : k + 1].repeat(2)) for k in (0, 1))
+    assert a[0] > a[1] + 1 and b[1] > b[0] + 1
+
+
+def test_equal_texts_have_equal_scores_and_the_model_ignores_storage(spark, prose):
+    texts = prose(60, seed=3)
+    docs = [(i, t) for i, t in enumerate([*texts, *texts[:20]])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    one, two = (lm.train(frame.repartition(n)).net.flat() for n in (1, 5))
+    assert (one == two).all()
+    got = {r.doc_id: r.score for r in lm.score(frame.repartition(7)).collect()}
+    assert all(got[i] == got[60 + i] for i in range(20)) and len(set(got.values())) == 60
+
+
+def test_several_splits(spark, prose, monkeypatch):
+    monkeypatch.setattr(lm, "SPLIT_CHARACTERS", 3000)
+    monkeypatch.setattr(lm, "TOGETHER", 2)
+    docs = spark.createDataFrame(list(enumerate(prose(40, seed=8))), "doc_id long, text string")
+    one, two = (lm.train(docs.repartition(n)).net.flat() for n in (1, 4))
+    assert (one == two).all() and not (one == lm.Network().flat()).all()
+
+
+def test_held_out_documents_score_above_their_words_shuffled(spark):
+    import pyarrow as pa
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null")
+    model = lm.train(docs.where("doc_id % 5 <> 0"))
+    rng, held = random.Random(0), [r.text.split() for r in docs.where("doc_id % 5 = 0").collect()]
+    held = [w for w in held if len(w) >= 50]
+    _, ordered = model.scores(pa.array([" ".join(w) for w in held]))
+    _, shuffled = model.scores(pa.array([" ".join(rng.sample(w, len(w))) for w in held]))
+    assert len(held) > 100 and (ordered > shuffled).mean() > 0.5 and (ordered - shuffled).sum() > 0
 
 
 def test_parts_hold_every_text_once(monkeypatch):
@@ -73,20 +135,25 @@ def test_ordered_text_scores_above_shuffled(spark):
 def test_odd_rows(odd, none):
     got = {r.doc_id: r for r in lm.score(odd).collect()}
     assert [got[i].n_tokens for i in (2, 3, 4)] == [0, 0, 0] and got[2].score == 0.0 and got[8].n_tokens == 30_000
-    assert got[1].score == pytest.approx(got[6].score, rel=1e-5) and got[1].score < 0
+    assert got[1].score == got[6].score < 0
     assert lm.score(none).count() == 0
 
 
 def test_words_of_one_identity_have_their_own_share(spark):
     """A word that never recurs scores below a frequent one, though the network takes both for the same."""
-    import xxhash
+    import pyarrow as pa
 
     same: dict = {}
     for w in (f"w{i}" for i in range(10**6)):
-        x = xxhash.xxh32_intdigest(w, lm.SEED) & (lm.BUCKETS - 1)
+        x = int(lm.identities(pa.array([w]))[0][0])
         if x in same:
             break
         same[x] = w
     docs = [(i, same[x]) for i in range(50)] + [(100, w)]
     got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
     assert len(got) == 51 and got[0] == pytest.approx(got[49]) and got[0] - got[100] == pytest.approx(np.log(50.5 / 1.5), rel=1e-6)
+
+
+def test_packed_numbers():
+    for x in ([], [0], [5, 70_000, 3, 2**31 - 1, 0]):
+        assert lm.unpacked(lm.packed(np.array(x, np.int32))).tolist() == x
