@@ -84,12 +84,16 @@ def meanpool_vectors(spark, d):
     return pooled.select("id", F.posexplode("vec").alias("at", "x")).select("id", F.col("at").cast("long").alias("at"), F.round("x", 6).alias("x"))
 
 
-def _hybrid_lists(spark, d):
-    """Keyword lists of the benchmark texts, and dense lists for which vector n stands for document and query n."""
-    words = bm25.search(_index(spark, d), _benchmark(spark, d), 3 * K)
+def _dense_lists(spark, d):
+    """Dense lists of the benchmark texts, for which vector n stands for document and query n."""
     e = _t(spark, d, "embeddings")
     asked = e.join(_t(spark, d, "benchmark"), F.col("vec_id") == F.col("item_id")).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
-    return words, vectors.nearest(e, asked, 3 * K)
+    return vectors.nearest(e, asked, 3 * K)
+
+
+def _hybrid_lists(spark, d):
+    """Keyword lists of the benchmark texts, and their dense lists."""
+    return bm25.search(_index(spark, d), _benchmark(spark, d), 3 * K), _dense_lists(spark, d)
 
 
 def _fused(spark, d, weights):
@@ -107,15 +111,13 @@ def rrf_fuse_equal(spark, d):
 
 
 def hybrid_search(spark, d):
-    _, dense = _hybrid_lists(spark, d)
-    out = search.hybrid(_benchmark(spark, d), _index(spark, d), dense, limit=K)
+    out = search.hybrid(_benchmark(spark, d), _index(spark, d), _dense_lists(spark, d), limit=K)
     return _rounded(out.select("query_id", "id", "final_score", "bm25_rank", "dense_rank", "rank"), "final_score", digits=9)
 
 
 def _pages(spark, d):
     """Pages of a vector search: vector n is page n modulo 7 of document n; chunks are vectors too."""
-    _, dense = _hybrid_lists(spark, d)
-    at = dense.select("query_id", "id", "score", "rank", (F.col("id") % 40).alias("document_id"), (F.col("id") % 7).alias("page_number"))
+    at = _dense_lists(spark, d).select("query_id", "id", "score", "rank", (F.col("id") % 40).alias("document_id"), (F.col("id") % 7).alias("page_number"))
     pages = at.where("rank <= 8").groupBy("query_id", "document_id", "page_number").agg(F.max("score").alias("score"), F.min("rank").alias("rank"))
     return at, pages
 
