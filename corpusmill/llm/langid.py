@@ -10,6 +10,10 @@ the best single language, the language with the largest proportion in the full m
 as long as the log-likelihood of the refitted mixture rises by more than `penalty` * log(number of n-grams) for it.
 The prediction is the language of the set with the largest proportion, the score that proportion.
 
+A filter (`keep_known`) asks besides whether the languages explain a text at all: the likelihood of its set is held
+against that of noise, which gives every n-gram bucket the same probability. A text whose n-grams noise makes more
+probable by a factor of e^NOISE on average, as those of an alphabet that no label has, is in none of the languages.
+
 Null texts and texts without a letter are "und" with score 0. Without any labelled row every text is "und". Rows
 with null lang aren't learned from; rows with null ids are (they are in no fold). Extra columns are ignored.
 """
@@ -20,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +32,7 @@ BUCKETS = 1 << 15
 ROUNDS = 8
 PENALTY = 12.0
 SMOOTH = 0.05
+NOISE = 3.5
 UNKNOWN = "und"
 #: Bytes of text whose n-grams one step holds.
 SPAN = 1 << 20
@@ -90,18 +96,18 @@ class Model:
             w = w * ((n / (p @ w)) @ p) / total
         return w, float(n @ np.log(p @ w))
 
-    def predict(self, text: str | None) -> tuple[str, float, list[str], list[float]]:
-        if not self.langs or not has_letter(text):
-            return UNKNOWN, 0.0, [], []
-        at, n = ngrams(text)
+    def infer(self, text: str) -> tuple[list[int], np.ndarray, float, float, float]:
+        """(languages of the set, their proportions, score of the best, log-likelihood of the set, number of n-grams)."""
+        at, n = ngrams(text, len(self.p))
         n = n.astype(np.float64)
+        total = float(n.sum())
         single = n @ self.log_p[at]
         best = int(single.argmax())
-        chosen, weights, likelihood = [best], np.ones(1), float(single[best])
+        chosen, weights, likelihood, score = [best], np.ones(1), float(single[best]), 1.0
         if len(self.langs) > 1:
             p = self.p[at]
             full, most = self.mixture(p, n)
-            cost = PENALTY * np.log(n.sum())
+            cost = PENALTY * np.log(total)
             if most - likelihood > cost:
                 for k in np.argsort(-full, kind="stable").tolist():
                     if k in chosen:
@@ -111,10 +117,21 @@ class Model:
                         break
                     chosen, weights, likelihood = [*chosen, k], w, now
             score = float(full[chosen[int(weights.argmax())]]) if len(chosen) == 1 else float(weights.max())
-        else:
-            score = 1.0
+        return chosen, weights, min(1.0, max(0.0, score)), likelihood, total
+
+    def predict(self, text: str | None) -> tuple[str, float, list[str], list[float]]:
+        if not self.langs or not has_letter(text):
+            return UNKNOWN, 0.0, [], []
+        chosen, weights, score, _, _ = self.infer(text)
         order = np.argsort(-weights, kind="stable").tolist()
-        return self.langs[chosen[order[0]]], min(1.0, max(0.0, score)), [self.langs[chosen[i]] for i in order], [float(weights[i]) for i in order]
+        return self.langs[chosen[order[0]]], score, [self.langs[chosen[i]] for i in order], [float(weights[i]) for i in order]
+
+    def explained(self, text: str | None, margin: float = NOISE) -> str | None:
+        """The best language of a text unless noise explains each of its n-grams better by margin, on average; then None, as without a letter."""
+        if not self.langs or not has_letter(text):
+            return None
+        chosen, weights, _, likelihood, total = self.infer(text)
+        return self.langs[chosen[int(weights.argmax())]] if likelihood >= -total * (np.log(len(self.p)) + margin) else None
 
 
 def train(docs: DataFrame, buckets: int = BUCKETS, lang_col: str = "lang", text_col: str = "text") -> Model:
@@ -148,16 +165,25 @@ def identify(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", te
     return rows.mapInArrow(_predict(shared), PREDICTED)
 
 
-def _keep(model, text_at: int):
+def _keep(model, text_at: int, lang_at: int, margin: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:
-            yield batch.filter(pa.array([own.predict(t.as_py())[0] != UNKNOWN if own.langs else has_letter(t.as_py()) for t in batch.column(text_at)], pa.bool_()))
+            found = pa.array([own.explained(t.as_py(), margin) if own.langs else UNKNOWN if has_letter(t.as_py()) else None for t in batch.column(text_at)], pa.string())
+            if own.langs:
+                column = batch.column(lang_at)
+                batch = batch.set_column(lang_at, batch.schema.field(lang_at), pc.coalesce(column, found.cast(column.type)))
+            yield batch.filter(pc.is_valid(found))
 
     return run
 
 
-def keep_known(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose text has a language: "und" rows go. With nothing to learn from, texts with a letter stay."""
-    model = train(docs.where(~held_out(F.col(id_col))), lang_col=lang_col, text_col=text_col)
-    return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)), docs.schema)
+def keep_known(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", margin: float = NOISE) -> DataFrame:
+    """The rows of docs whose text is in the languages of docs; where lang is null it becomes the inferred one, all else stays.
+
+    Learns from all rows with a language. Rows go whose text is null, has no letter, or is explained by noise far
+    better than by any mixture of the languages (see `Model.explained`). With nothing to learn from, texts with a letter stay.
+    """
+    model = train(docs, lang_col=lang_col, text_col=text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_keep(shared, docs.columns.index(text_col), docs.columns.index(lang_col), margin), docs.schema)

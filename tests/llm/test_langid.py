@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import pytest
+
 from corpusmill.llm import langid
 
 SYLLABLES = {"aa": ("th", "ing", "er", "on", "and"), "bb": ("sch", "ung", "ei", "ver", "ich"), "cc": ("eau", "oux", "que", "ment", "lle")}
@@ -73,3 +75,74 @@ def test_ngrams_over_spans(monkeypatch):
 def test_without_labels_texts_with_letters_are_kept(spark):
     docs = spark.createDataFrame([(1, "words", None), (2, "...", None), (3, None, None)], "doc_id long, text string, lang string")
     assert [r.doc_id for r in langid.keep_known(docs).collect()] == [1]
+
+
+def test_texts_in_no_learned_language_go(spark):
+    """Noise, and an alphabet that no label has, are rejected; languages and their mixtures stay, at any length."""
+    rng = random.Random(4)
+    noise = lambda n: "".join(chr(rng.choice((rng.randrange(0x4E00, 0x9F00), rng.randrange(0x400, 0x4FF)))) for _ in range(n))
+    known = corpus(spark)
+    rows = [(1000, noise(400), None), (1001, noise(4000), None), (1002, made("aa", 40, rng) + " " + made("cc", 40, rng), None), (1003, made("bb", 1, rng), None), (1004, made("cc", 3000, rng), None)]
+    kept = langid.keep_known(known.select("doc_id", "text", "lang").unionAll(spark.createDataFrame(rows, "doc_id long, text string, lang string"))).collect()
+    langs = {r.doc_id: r.lang for r in kept}
+    assert set(range(600)) <= set(langs) and set(langs) - set(range(600)) == {1002, 1003, 1004}
+    assert langs[1002] in ("aa", "cc") and langs[1003] == "bb" and langs[1004] == "cc"
+    assert all(langs[r.doc_id] == r.lang for r in known.collect())
+
+
+def plain_mixture(model, text, rounds):
+    """Expectation-maximisation over single n-grams, one after the other."""
+    raw = (" " + text.lower() + " ").encode()
+    grams = []
+    for n in (2, 3, 4):
+        for i in range(len(raw) - n + 1):
+            value = (int.from_bytes(raw[i : i + n], "big") + n) * 2654435761 % 2**32
+            grams.append(value >> (32 - langid.BUCKETS.bit_length() + 1))
+    w = [1 / len(model.langs)] * len(model.langs)
+    for _ in range(rounds):
+        shares = [0.0] * len(w)
+        for g in grams:
+            parts = [a * b for a, b in zip(w, model.p[g], strict=True)]
+            shares = [s + x / sum(parts) for s, x in zip(shares, parts, strict=True)]
+        w = [s / len(grams) for s in shares]
+    return w, grams
+
+
+def test_against_a_plain_mixture(spark):
+    """Proportions and the penalised set against a plain implementation that tries the sets in the same order."""
+    import math
+
+    import numpy as np
+
+    rng = random.Random(6)
+    model = langid.train(corpus(spark))
+    for text in (made("aa", 30, rng), made("aa", 60, rng) + " " + made("bb", 40, rng), made("bb", 5, rng) + " " + made("cc", 50, rng) + " " + made("aa", 45, rng), made("cc", 2, rng)):
+        full, grams = plain_mixture(model, text, langid.ROUNDS)
+        at, n = langid.ngrams(text)
+        assert np.allclose(model.mixture(model.p[at], n.astype(float))[0], full, atol=1e-9)
+
+        def fitted(langs):
+            part = langid.Model([model.langs[i] for i in langs], np.zeros((langid.BUCKETS, len(langs))))
+            part.p = model.p[:, langs]
+            w, _ = plain_mixture(part, text, langid.ROUNDS) if len(langs) > 1 else ([1.0], None)
+            return sum(math.log(sum(a * b for a, b in zip(w, part.p[g], strict=True))) for g in grams), w
+
+        singles = [fitted([i])[0] for i in range(3)]
+        chosen = [int(np.argmax(singles))]
+        held, weights = fitted(chosen)
+        for i in sorted(range(3), key=lambda i: -full[i]):
+            if i not in chosen:
+                now, w = fitted([*chosen, i])
+                if now - held <= langid.PENALTY * math.log(len(grams)):
+                    break
+                chosen, held, weights = [*chosen, i], now, w
+        lang, _, langs, shares = model.predict(text)
+        assert lang == model.langs[chosen[int(np.argmax(weights))]] and set(langs) == {model.langs[i] for i in chosen}
+        assert sorted(shares) == pytest.approx(sorted(weights), abs=1e-9)
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(8)
+    model = langid.train(corpus(spark))
+    text = made("bb", 120_000, rng) * 3
+    assert len(text) > 2 * langid.SPAN and model.predict(text)[0] == "bb" and model.explained(text) == "bb"

@@ -50,3 +50,24 @@ def test_a_group_of_copies_keeps_its_content(spark, prose):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     clean = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, docs, DATA).collect()}
     assert clean[0] == own and clean[1] == others[1]
+
+
+def test_stages_on_odd_rows(spark, odd, none):
+    """Nulls, repeated rows, very long texts, clashing column names and empty tables through all stages, each on what the one before kept."""
+    from pyspark.sql import functions as F
+
+    docs = odd.withColumns({"lines_kept": F.lit("own"), "lines_dropped": F.lit(1), "tid": F.lit(2), "group": F.lit(3)})
+    for frame in (docs, docs.where(F.lit(False))):
+        kept = frame
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, DATA)
+            assert kept.columns == docs.columns, name
+        rows = kept.collect()
+        pieces = corpus_pipeline.STAGES[-1][1](spark, kept, DATA).collect()
+        assert {r.doc_id for r in rows} == {r.doc_id for r in pieces}
+        if frame is docs:
+            ids = [r.doc_id for r in rows]
+            assert len(ids) == len(set(ids)) and {7, 8, 9, 10} <= set(ids) and not {2, 3, 4, 5} & set(ids) and len({1, 6} & set(ids)) <= 1
+            assert {r.lines_kept for r in rows} == {"own"} and {r.lang for r in rows} == {"en"}
+        else:
+            assert not rows and not pieces
