@@ -1,6 +1,6 @@
 """License scans by diagonal voting, in DataFrame functions only.
 
-Words are the runs of digits, lower-case letters and non-ASCII characters of the lower-cased text. Every rolling k-gram
+A-Z become a-z; words are the runs of digits, lower-case letters and non-ASCII characters. Every rolling k-gram
 of words is hashed; k-grams whose hash may be one of a template's (a bit table of 65,536 places as a first sieve) are
 joined with the positions of the templates' k-grams, a table of a few hundred fixed rows. Each match votes for the
 diagonal (place in the text minus place in the template). Neighbouring diagonals of a text and template, at most `gap`
@@ -26,6 +26,8 @@ GAP = 4
 COVERAGE = 0.7
 STRETCH = 1.6
 SIEVE_BITS = 16
+#: The one other character whose lower case is one of a-z alone.
+KELVIN = "\u212a"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: The phrases that give base labels.
@@ -110,7 +112,8 @@ def _base_places(words: Column, phrase: str) -> Column:
 
 
 def _scan_row(text: Column, k: int, sieve: Callable[[Column], Column], base) -> Column:
-    lower = F.lower(F.coalesce(text, F.lit("")))
+    # What other letters become is left open, as no phrase or template holds any, but no other may become one of a-z.
+    lower = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit(KELVIN), F.lit("\ufffd")))
 
     def use(words: Column) -> Column:
         n = F.size(words)

@@ -82,8 +82,9 @@ def _licenses_sql() -> str:
     rows = ", ".join(f"({t}, '{label}', '{text}')" for t, (label, text) in enumerate(licenses.TEMPLATES))
     gram = " || ' ' || ".join(f"words[i + {j}]" for j in range(k))
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in licenses.BASE)
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return rf"""
-with docs as (select row_number() over () as r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
+with docs as (select row_number() over () as r, doc_id, regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
 templates as (select t, label, words, len(words) as t_words from (select t, label, string_split(text, ' ') as words from (values {rows}) v(t, label, text))),
 tgrams as (select t, label, t_words, i, {gram} as gram from (select *, unnest(range(1, t_words - {k} + 2)) as i from templates)),
 sizes as (select t, count(distinct gram) as t_grams from tgrams group by t),

@@ -33,3 +33,9 @@ def test_odd_rows_and_plan(odd, none):
     assert out.count() == odd.count() and licenses.scan(none).count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "MapInArrow"))
+
+
+def test_only_ascii_letters_are_lowered(spark):
+    """No other letter becomes one of a-z: words that only look alike aren't the phrase's."""
+    got = scan(spark, ["MIT LICENSE", "MİT License", "KMIT License", "Apache Licenſe", "É é K k K"])
+    assert [got[i].n_base for i in range(5)] == [1, 0, 0, 0, 0] and got[4].n_words == 5
