@@ -66,12 +66,12 @@ def queries() -> dict:
     return {f.__name__: f for f in own}
 
 
-def _line_dedup_sql(ratio: float = line_dedup.RATIO, least: int = line_dedup.LEAST_PAGES) -> str:
+def _line_dedup_sql(ratio: float = line_dedup.RATIO) -> str:
     return f"""
 with pages as (select doc_id, source, text, row_number() over () as r, case when text is null then [] else string_split(text, chr(10)) end as lines from documents),
 totals as (select source, count(*) as pages from pages group by source),
 each as (select source, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(x)), lambda x: x <> ''))) as line from pages),
-bad as (select e.source, e.line from each e join totals t on e.source is not distinct from t.source group by e.source, e.line, t.pages having count(*) >= {least} and count(*) > {ratio} * t.pages),
+bad as (select e.source, e.line from each e join totals t on e.source is not distinct from t.source group by e.source, e.line, t.pages having count(*) > 1 and count(*) > {ratio} * t.pages),
 sets as (select source, list(line) as bad from bad group by source),
 kept as (select p.doc_id, p.text, p.lines, case when s.bad is null then p.lines else list_filter(p.lines, lambda x: not list_contains(s.bad, trim(x))) end as left_lines from pages p left join sets s on p.source is not distinct from s.source)
 select doc_id, case when len(left_lines) = len(lines) then text else array_to_string(left_lines, chr(10)) end as text, cast(len(left_lines) as bigint) as lines_kept, cast(len(lines) - len(left_lines) as bigint) as lines_dropped from kept"""
