@@ -3,7 +3,10 @@
 Long texts are cut before encoding, at places where the splitting pattern surely starts a new match whatever stands
 around them: before a single space between a character that isn't white space and a letter, digit or other mark. No
 match of the pattern crosses such a place, so the ids of the parts, one after the other, are those of the whole text.
-Only stretches without any such place stay whole. Decoding gives raw bytes, so ids that stop inside a character decode.
+Only stretches without any such place stay whole. A long run of white space is one match of the pattern but for its
+last character if anything follows (`\\s+(?!\\S)`), and the regex engine would keep a way back for each character of
+it; such a run goes to the merges directly. Both hold for patterns that split like the public ones of this kind, with
+words that take one space before them. Decoding gives raw bytes, so ids that stop inside a character decode.
 
 A null text counts as empty: no ids, the digest of nothing. Lone surrogates can't occur in Spark strings.
 """
@@ -22,6 +25,9 @@ from pyspark.sql import functions as F
 #: Characters of text that one call encodes at least.
 STRETCH = 1 << 16
 SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: White space as the encoding's regex engine has it, and a run that isn't left to that engine.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = re.compile(f"[{WHITE}]{{1000,}}")
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 _ENCODINGS: dict = {}
@@ -51,10 +57,20 @@ def safe_parts(text: str, stretch: int = STRETCH) -> Iterator[str]:
         yield text[begin:]
 
 
+def encoded_parts(text: str, own) -> Iterator[list[int]]:
+    """The ids of text, part by part."""
+    begin = 0
+    for run in LONG_RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        yield from map(own.encode_ordinary, safe_parts(text[begin : run.start()]))
+        yield own._encode_single_piece(text[run.start() : end])
+        begin = end
+    yield from map(own.encode_ordinary, safe_parts(text[begin:]))
+
+
 def encode(text: str | None, path: str, pattern: str) -> list[int]:
     """The ids of a whole text."""
-    own = encoding(path, pattern)
-    return [i for part in safe_parts(text or "") for i in own.encode_ordinary(part)]
+    return [i for ids in encoded_parts(text or "", encoding(path, pattern)) for i in ids]
 
 
 def decode(ids: list[int], path: str, pattern: str) -> bytes:
@@ -69,8 +85,7 @@ def _digests(path: str, pattern: str):
             counts, ids_sha, bytes_sha = [], [], []
             for text in batch.column(1):
                 n, said, back = 0, hashlib.sha256(), hashlib.sha256()
-                for part in safe_parts(text.as_py() or ""):
-                    ids = own.encode_ordinary(part)
+                for ids in filter(None, encoded_parts(text.as_py() or "", own)):
                     said.update((("," if n else "") + ",".join(map(str, ids))).encode())
                     back.update(own.decode_bytes(ids))
                     n += len(ids)

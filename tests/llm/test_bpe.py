@@ -56,3 +56,30 @@ def test_long_runs(made):
     for text in (" " * 300_000 + "x", "\n" * 100_000, "ab" * 200_000):
         ids = bpe.encode(text, *made)
         assert bpe.decode(ids, *made).decode() == text
+
+
+@pytest.mark.parametrize(("unit", "tail", "n"), [(" ", "x", 10**7), ("\n", "", 10**7), *[(u, t, 10**6) for u in (" ", "\n", "\t", "\u3000") for t in ("", "x", "!")], *[(u, "x", 3 * 10**5) for u in ("a", "é", "1", "!", "\u0301")]])
+def test_long_runs_of_one_character(made, unit, tail, n):
+    """White space: all of the run but its last character is one piece if anything follows, else all. Other runs, with a space before them, are one piece up to what is of another kind."""
+    own = bpe.encoding(*made)
+    ids = bpe.encode("x" + unit * n + tail if unit.isspace() else "# " + unit * n + "\n" + tail, *made)
+    if unit.isspace():
+        want = own.encode_ordinary("x") + own._encode_single_piece(unit * (n - 1 if tail else n)) + own.encode_ordinary((unit if tail else "") + tail)
+    else:
+        want = own.encode_ordinary("#") + own._encode_single_piece(" " + unit * n) + own.encode_ordinary("\n" + tail)
+    assert ids == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aé1 '\n\t\x1c\x85　\u2028.s", max_size=60))
+def test_long_white_space_is_one_match(text):
+    """With the least run that goes to the merges directly set low, every kind of neighbourhood occurs."""
+    import public_tokenizers
+
+    made = tokenizer_path(BYTE_BPE), public_tokenizers.PATTERN
+    own, held = bpe.encoding(*made), bpe.LONG_RUN
+    bpe.LONG_RUN = bpe.re.compile(f"[{bpe.WHITE}]{{2,}}")
+    try:
+        assert bpe.encode(text, *made) == own.encode_ordinary(text)
+    finally:
+        bpe.LONG_RUN = held
