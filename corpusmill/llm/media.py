@@ -7,7 +7,7 @@ Every task appends its new chunks, compressed, to a pack file of its own in the
 (file, ordinal, digest, pack, offset, length). A groupBy and a join on the digest pick one place for each distinct
 chunk; the ordered chunk lists then point at those places only. Reading fetches the listed ranges, checks every chunk
 against its digest and the whole against the digest of the stored file, and computes the features from what was read.
-No payload bytes are ever shuffled.
+No payload bytes are ever shuffled. A chunk that several tasks meet is written by each of them and read from one place.
 
 Pack names are unique to the attempt that wrote them and the rows are written out before they are used, so a lost
 executor costs at most some unused packs. A null text is an empty one: 64 zero bytes. Equal texts have equal values.
@@ -54,7 +54,7 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
 
 
 def wave(samples: bytes) -> bytes:
-    """A WAVE file of unsigned 8-bit mono samples."""
+    """A WAVE file of unsigned 8-bit mono samples. Its sizes hold 32 bits, so of 4 GiB or more other readers see the rest of a division."""
     return b"RIFF" + struct.pack("<I", 36 + len(samples) & 0xFFFFFFFF) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, RATE, RATE, 1, 8) + b"data" + struct.pack("<I", len(samples) & 0xFFFFFFFF) + samples
 
 
@@ -192,10 +192,16 @@ def store(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "t
 
 
 def deduplicated(files: DataFrame) -> DataFrame:
-    """(file, list): for every file its chunks in order, each at the one place that all equal chunks share."""
-    each = files.select("file", F.posexplode(F.arrays_zip("chunks", "places")).alias("ord", "x")).select("file", "ord", F.col("x.chunks.digest").alias("digest"), F.col("x.places").alias("place"))
-    common = each.groupBy(F.col("digest").alias("of")).agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("of", "first")
-    lists = each.join(common, F.col("digest") == F.col("of"), "left").select("file", F.struct("ord", "digest", F.coalesce("first", "place").alias("p")).alias("c"))
+    """(file, list): for every file its chunks in order, each at the one place that all equal chunks share.
+
+    Packs first give each of their digests once, so a chunk that a third of all files hold has as many rows as there
+    are packs when the packs agree on a place; the files then learn of it by pack and digest.
+    """
+    each = files.select("file", F.posexplode(F.arrays_zip("chunks", "places")).alias("ord", "x")).select("file", "ord", F.col("x.chunks.digest").alias("digest"), F.col("x.places").alias("place"), F.col("x.places.pack").alias("pack"))
+    local = staged(each.groupBy("pack", "digest").agg(F.min("place").alias("place")), "local")
+    common = local.groupBy(F.col("digest").alias("of")).agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("of", "first")
+    moved = local.join(common, F.col("digest") == F.col("of")).where("first <> place").select(F.col("pack").alias("from"), "of", "first")
+    lists = each.join(moved, (F.col("pack") == F.col("from")) & (F.col("digest") == F.col("of")), "left").select("file", F.struct("ord", "digest", F.coalesce("first", "place").alias("p")).alias("c"))
     return lists.groupBy("file").agg(F.array_sort(F.collect_list("c")).alias("list")).select(F.col("file").alias("of_file"), F.transform("list", lambda c: F.struct(c.ord.alias("ord"), c.digest.alias("digest"), c.p.pack.alias("pack"), c.p.at.alias("at"), c.p.len.alias("len"))).alias("list"))
 
 
