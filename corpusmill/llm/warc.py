@@ -1,11 +1,13 @@
 """WARC archives as a Python data source, "warc".
 
-Writing: every task writes an archive of its own (a gzip member for each record, or plain records), under a name that
-is unique to the attempt; the commit lists the archives of the attempts that count in a manifest, so those of lost or
-repeated attempts are never read.
-
-Reading: the plan is made of whole archives, or of equal byte ranges of large plain ones, each starting at the first
-record that begins inside. Equality filters on `record_type`, `uri`, `payload_digest`, `record_id` and `refers_to` and
+Writing: every task writes an archive of its own (a gzip member for each record, or plain records), in the job's folder
+and under a name that is unique to the attempt, and notes where a record begins about every RANGE bytes. The commit
+lists the archives of the attempts that count, with these places, in a manifest, so those of lost or repeated attempts
+are never read; a job that fails takes its folder with it.
+
+Reading: the plan is made of the ranges between such places, in plain and in gzip archives, so a range always begins
+and ends with a record, whatever stands in payloads. Of archives without a manifest plain ones are split too, at places
+that the planner finds from header to header; gzip ones are read whole. Equality filters on `record_type`, `uri`, `payload_digest`, `record_id` and `refers_to` and
 comparisons with `payload_bytes` are pushed down; they are answered from the headers, which are parsed first. The block
 of a record that they exclude is skipped: by a seek in plain archives, without being kept or decoded in gzip ones. So
 it is when the options `headers_only=true` says that no query reads `payload`.
@@ -38,8 +40,9 @@ from .common import new_path, staged
 SCHEMA = "record_id string, record_type string, uri string, date string, payload_bytes long, payload_digest string, refers_to string, payload binary"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 MANIFEST = "manifest.json"
-#: Bytes of a plain archive that one task reads.
+#: Bytes of an archive that one task reads, about.
 RANGE = 128 << 20
+MOST_HEADER = 1 << 22
 READ = 1 << 20
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
@@ -76,19 +79,25 @@ def record_of(row: dict) -> bytes:
 
 
 class _Stream:
-    """Bytes of an archive from a place on, with skipping."""
+    """Bytes of an archive between two places of the file, with skipping."""
 
-    def __init__(self, file, begin: int, packed: bool):
-        self.file, self.packed, self.held, self.at = file, packed, b"", begin
+    def __init__(self, file, begin: int, packed: bool, end: int | None = None):
+        self.file, self.packed, self.held, self.at, self.room = file, packed, b"", begin, None if end is None else end - begin
         file.seek(begin)
         self.inflate = zlib.decompressobj(31) if packed else None
         self.left = b""
 
+    def _raw(self) -> bytes:
+        raw = self.file.read(READ if self.room is None else min(READ, self.room))
+        if self.room is not None:
+            self.room -= len(raw)
+        return raw
+
     def _more(self) -> bytes:
         if not self.packed:
-            return self.file.read(READ)
+            return self._raw()
         while True:
-            raw = self.left or self.file.read(READ)
+            raw = self.left or self._raw()
             if not raw:
                 return b""
             out = self.inflate.decompress(raw, READ)
@@ -103,6 +112,8 @@ class _Stream:
         begin = 0
         while (found := self.held.find(mark, begin)) < 0:
             begin = max(0, len(self.held) - len(mark) + 1)
+            if begin > MOST_HEADER:
+                raise ValueError("not a WARC record: its header doesn't end")
             more = self._more()
             if not more:
                 return None
@@ -128,7 +139,12 @@ class _Stream:
         if n <= len(self.held):
             self.held = self.held[n:]
         elif not self.packed:
-            self.file.seek(n - len(self.held), 1)
+            n -= len(self.held)
+            if self.room is not None:
+                if n > self.room:
+                    raise ValueError("the archive ends inside a record")
+                self.room -= n
+            self.file.seek(n, 1)
             self.held = b""
         else:
             n -= len(self.held)
@@ -150,7 +166,7 @@ def _fields(head: bytes) -> dict:
 
 
 def read_records(stream: _Stream, end: int | None, wanted, with_payload: bool) -> Iterator[tuple]:
-    """Rows of SCHEMA of the records that begin before end and whose headers are wanted."""
+    """Rows of SCHEMA of the records that begin before end (all if None) and whose headers are wanted."""
     while end is None or stream.at < end:
         head = stream.until(b"\r\n\r\n")
         if head is None:
@@ -187,7 +203,7 @@ class _Part(InputPartition):
 class _Written(WriterCommitMessage):
     name: str | None
     records: int
-    size: int
+    splits: list[int]
 
 
 _TESTS = {EqualTo: lambda x, y: x == y, GreaterThan: lambda x, y: x > y, GreaterThanOrEqual: lambda x, y: x >= y, LessThan: lambda x, y: x < y, LessThanOrEqual: lambda x, y: x <= y}
@@ -211,18 +227,27 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[_Part]:
         system, folder = pa.fs.FileSystem.from_uri(self.root)
         info = system.get_file_info(folder)
-        if info.is_file:
-            files = [info]
+        selected = [info] if info.is_file else system.get_file_info(pa.fs.FileSelector(folder))
+        listed = [json.loads(system.open_input_stream(f.path).read()) for f in selected if f.base_name == MANIFEST]
+        if not listed:
+            found = [(f.path, self._splits(system, f)) for f in sorted(selected, key=lambda f: f.path) if f.is_file and ".warc" in f.base_name]
         else:
-            selected = system.get_file_info(pa.fs.FileSelector(folder))
-            listed = next((json.loads(system.open_input_stream(f.path).read()) for f in selected if f.base_name == MANIFEST), None)
-            files = sorted((f for f in selected if f.is_file and (f.base_name in listed if listed is not None else ".warc" in f.base_name)), key=lambda f: f.path)
-        out = []
-        for f in files:
-            if f.path.endswith(".gz") or f.size <= RANGE:
-                out.append(_Part(f.path, 0, None))
-            else:
-                out += [_Part(f.path, at, min(f.size, at + RANGE)) for at in range(0, f.size, RANGE)]
+            found = [(f"{folder}/{name}", splits) for name, splits in listed[0]]
+        return [_Part(path, a, b) for path, splits in found for a, b in zip([0, *splits], [*splits, None], strict=True)]
+
+    @staticmethod
+    def _splits(system, info) -> list[int]:
+        """Where records begin about every RANGE bytes of a plain archive that no manifest tells of: from header to header, blocks are jumped over."""
+        out: list[int] = []
+        if not info.path.endswith(".gz") and info.size > RANGE:
+            with system.open_input_file(info.path) as file:
+                stream = _Stream(file, 0, False)
+                while (head := stream.until(b"\r\n\r\n")) is not None:
+                    begin = stream.at - len(head) - 4 + head.find(b"WARC/")
+                    if head.strip():
+                        if begin - (out[-1] if out else 0) >= RANGE:
+                            out.append(begin)
+                        stream.skip(int(_fields(head).get("content-length", 0)))
         return out
 
     def read(self, partition: _Part | None) -> Iterator[pa.RecordBatch]:
@@ -234,15 +259,8 @@ class WarcReader(DataSourceReader):
         wanted = lambda row: all(row[i] is not None and test(row[i], v) for i, test, v in tests)
         rows, held = [], 0
         with system.open_input_file(partition.path) as file:
-            stream = _Stream(file, partition.begin, partition.path.endswith(".gz"))
-            if partition.begin:  # to the first record that begins here; its mark stands behind the end of another
-                stream.at -= 4
-                file.seek(stream.at)
-                if stream.until(b"\r\n\r\nWARC/1.") is None:
-                    return
-                stream.at -= 7
-                stream.held = b"WARC/1." + stream.held
-            for row in read_records(stream, partition.end, wanted, not self.headers_only):
+            stream = _Stream(file, partition.begin, partition.path.endswith(".gz"), partition.end)
+            for row in read_records(stream, None, wanted, not self.headers_only):
                 rows.append(row)
                 held += len(row[-1] or b"") + 300
                 if held > 4 * READ:
@@ -259,13 +277,14 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
-        self.root, self.packed = options["path"], options.get("compression", "gzip") == "gzip"
+        self.root, self.packed, self.range = options["path"], options.get("compression", "gzip") == "gzip", int(options.get("range", RANGE))
+        self.job = f"job-{uuid.uuid4().hex}"
         system, folder = pa.fs.FileSystem.from_uri(self.root)
-        system.create_dir(folder)
+        system.create_dir(f"{folder}/{self.job}")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         system, folder = pa.fs.FileSystem.from_uri(self.root)
-        name, n, size = f"{uuid.uuid4().hex}.warc" + ".gz" * self.packed, 0, 0
+        name, n, at, splits = f"{self.job}/{uuid.uuid4().hex}.warc" + ".gz" * self.packed, 0, 0, []
         out = None
         for batch in iterator:
             for i in range(batch.num_rows):
@@ -275,28 +294,28 @@ class WarcWriter(DataSourceArrowWriter):
                     press = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                     raw = press.compress(raw) + press.flush()
                 out = out or system.open_output_stream(f"{folder}/{name}", compression=None)
+                if at - (splits[-1] if splits else 0) >= self.range:
+                    splits.append(at)
                 out.write(raw)
-                n, size = n + 1, size + len(raw)
+                n, at = n + 1, at + len(raw)
         if out:
             out.close()
-        return _Written(name if n else None, n, size)
+        return _Written(name if n else None, n, splits)
 
     def commit(self, messages: list[_Written | None]) -> None:
         system, folder = pa.fs.FileSystem.from_uri(self.root)
         old = [f for f in system.get_file_info(pa.fs.FileSelector(folder)) if f.base_name == MANIFEST]
-        names = json.loads(system.open_input_stream(old[0].path).read()) if old else []
+        listed = json.loads(system.open_input_stream(old[0].path).read()) if old else []
         with system.open_output_stream(f"{folder}/{MANIFEST}") as out:
-            out.write(json.dumps(names + sorted(m.name for m in messages if m and m.name)).encode())
+            out.write(json.dumps(listed + sorted((m.name, m.splits) for m in messages if m and m.name)).encode())
 
     def abort(self, messages: list[_Written | None]) -> None:
         system, folder = pa.fs.FileSystem.from_uri(self.root)
-        for m in messages:
-            if m and m.name:
-                system.delete_file(f"{folder}/{m.name}")
+        system.delete_dir(f"{folder}/{self.job}")
 
 
 class WarcDataSource(DataSource):
-    """Options: path; compression (gzip or none) for writing; headers_only for reading."""
+    """Options: path; compression (gzip or none) and range (bytes of an archive between two places that a reader may begin at) for writing; headers_only for reading."""
 
     @classmethod
     def name(cls) -> str:
@@ -353,7 +372,9 @@ def write_and_read(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_i
     register(spark)
     path = new_path(spark, "warc")
     archive_rows(pages, least_bytes, id_col, uri_col, html_col).write.format("warc").mode("append").save(path)
-    back = spark.read.format("warc").load(path)
+    # Revisits are answered from their headers, so blocks are only read of responses.
+    heads = spark.read.format("warc").option("headers_only", "true").load(path).where("record_type = 'revisit'")
+    back = spark.read.format("warc").load(path).where("record_type = 'response'").unionAll(heads)
     number = lambda c: F.expr(f"try_cast(nullif(substring({c}, 10), '') as bigint)")
     intact = (F.col("record_type") == "revisit") | ((F.octet_length("payload") == F.col("payload_bytes")) & (base32(F.unhex(F.sha1("payload"))) == F.col("payload_digest")))
     checked = F.when(intact, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its header: "), "record_id")))

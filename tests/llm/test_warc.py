@@ -63,3 +63,42 @@ def test_excluded_blocks_are_not_kept(tmp_path):
     stream.take = lambda n: taken.append(n) or take(n)
     got = list(warc.read_records(stream, None, lambda row: row[1] == "response", True))
     assert [r[0] for r in got] == ["1"] and taken == [100_000]
+
+
+def one(i, payload, kind="response"):
+    return {"record_id": f"r{i}", "record_type": kind, "uri": f"u{i}", "date": None, "payload": payload, "payload_bytes": None, "payload_digest": None, "refers_to": None}
+
+
+@pytest.mark.parametrize("compression", ["gzip", "none", None])
+def test_ranges_with_records_inside_payloads(spark, tmp_path, monkeypatch, compression):
+    """Payloads that hold whole records and marks of records; each record is read once, whatever the ranges. None: an archive that others wrote."""
+    inner = warc.record_of(one("inner", b"inside")) + b"\r\n\r\nWARC/1.1\r\nnot a header"
+    rows = [one(i, inner * (i % 5) + b"x" * (i * 31 % 400)) for i in range(120)]
+    if compression is None:
+        (tmp_path / "a.warc").write_bytes(b"".join(map(warc.record_of, rows)))
+        monkeypatch.setattr(warc, "RANGE", 700)
+    else:
+        warc.register(spark)
+        frame = spark.createDataFrame([tuple(r[c] for c in warc.NAMES) for r in rows], warc.SCHEMA).repartition(2)
+        frame.write.format("warc").option("compression", compression).option("range", 700).mode("append").save(f"file://{tmp_path}")
+    reader = warc.WarcReader({"path": f"file://{tmp_path}"})
+    parts = reader.partitions()
+    assert len(parts) > 10
+    got = [(r["record_id"], r["payload"]) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted(got) == sorted((r["record_id"], r["payload"]) for r in rows)
+
+
+def test_a_failed_job_leaves_nothing(tmp_path):
+    writer = warc.WarcWriter({"path": f"file://{tmp_path}"}, False)
+    batch = warc._batch([tuple(one(1, b"x")[c] for c in warc.NAMES)])
+    writer.write(iter([batch]))  # an attempt whose message never arrives
+    writer.abort([None])
+    assert warc.WarcReader({"path": f"file://{tmp_path}"}).partitions() == []
+
+
+def test_what_is_no_archive_is_an_error(tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "MOST_HEADER", 1000)
+    (tmp_path / "a.warc").write_bytes(b"no header" * 1_000_000)
+    reader = warc.WarcReader({"path": f"file://{tmp_path}"})
+    with pytest.raises(ValueError, match="not a WARC record"):
+        list(reader.read(reader.partitions()[0]))
