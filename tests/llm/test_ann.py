@@ -56,3 +56,45 @@ def test_equal_in_single_precision(spark):
     base = rng.normal(size=16)
     vectors = [(0, base.tolist())] + [(i, (base + rng.normal(size=16) * 1e-5 * (61 - i)).tolist()) for i in range(1, 61) if i != 50]
     assert [i for i, _ in run(spark, vectors)[0]] == [i for i, _ in truth(vectors, [0])[0]]
+
+
+def test_parallel_vectors_are_ties(spark):
+    """More parallel vectors than the beam holds: all cosines are equal, so the smallest ids win."""
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=8)
+    vectors = [(i, (base * (1 + i % 7) * (i + 1)).tolist()) for i in range(400)] + [(1000 + i, rng.normal(size=8).tolist()) for i in range(300)]
+    got = run(spark, vectors)
+    assert [i for i, _ in got[0]] == [1, 2, 3, 4, 5] and [i for i, _ in got[350]] == [0, 1, 2, 3, 4]
+
+
+def test_almost_equal_and_long_vectors(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=3000)
+    vectors = [(i, (base + rng.normal(size=3000) * 1e-9).tolist()) for i in range(0, 120)]
+    want, got = truth(vectors, [0, 50, 100]), run(spark, vectors)
+    assert all(s == pytest.approx(dict(truth(vectors, [q], 200)[q])[i], abs=1e-12) for q in want for i, s in got[q])
+    assert all(min(s for _, s in got[q]) >= want[q][-1][1] - 1e-12 for q in want)
+
+
+def test_other_columns_may_have_any_name(spark):
+    frame = spark.createDataFrame([(i, [float(i), 1.0], 1, 2, 3) for i in range(60)], "vec_id long, embedding array<double>, dim int, shard int, id long")
+    own = ann.valid_vectors(frame)
+    assert ann.nearest(own, own.where(F.col("id") % 50 == 0)).count() == 10
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_embeddings(spark, sf):
+    """All queries of the table against brute force."""
+    own = ann.valid_vectors(spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet"))
+    rows = own.collect()
+    ids, x = np.array([r.id for r in rows]), np.array([r.vec for r in rows])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got: dict = {}
+    for r in ann.nearest(own, own.where(F.col("id") % 50 == 0)).collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    hits = 0
+    for q in got:
+        sims = x @ x[np.flatnonzero(ids == q)[0]]
+        best = np.sort(sims[ids != q])[::-1][:5]
+        hits += sum(s >= best[-1] - 1e-9 for s in got[q])
+    assert len(got) == (ids % 50 == 0).sum() and hits / (5 * len(got)) >= 0.97
