@@ -28,6 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 BUCKETS = 1 << 15
 ROUNDS = 8
 PENALTY = 12.0
@@ -36,6 +38,8 @@ NOISE = 3.5
 UNKNOWN = "und"
 #: Bytes of text whose n-grams one step holds.
 SPAN = 1 << 20
+#: Rows that the filter holds a copy of.
+ROWS_AT_ONCE = 2048
 
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, langs array<string>, shares array<double>"
 
@@ -66,6 +70,7 @@ def held_out(id_col: Column) -> Column:
 
 
 def _count(buckets: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -166,9 +171,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", te
 
 
 def _keep(model, text_at: int, lang_at: int, margin: float):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
-        for batch in batches:
+        for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
             found = pa.array([own.explained(t.as_py(), margin) if own.langs else UNKNOWN if has_letter(t.as_py()) else None for t in batch.column(text_at)], pa.string())
             if own.langs:
                 column = batch.column(lang_at)

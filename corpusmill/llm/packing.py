@@ -18,6 +18,7 @@ itself. An empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import deque
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import frugal, staged
 
 CAPACITY = 4096
 END_ID = 2
@@ -67,6 +68,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and each thread keeps memory of its own
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -125,11 +127,14 @@ class WordEncoder:
         coded = split.flatten().dictionary_encode()
         words, borders = coded.indices.to_numpy(), split.offsets.to_numpy()
         known = self._known(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(known), "<u4")
+        # A text has fewer than 2^31 bytes, so 32 bits hold every place.
+        sizes = np.fromiter(map(len, known), np.int32, len(known)) // 4
+        starts, ids = np.cumsum(sizes, dtype=np.int32) - sizes, np.frombuffer(b"".join(known), "<u4")
         counts = sizes[words]
-        ends = np.cumsum(counts)
-        own = ids[np.repeat(starts[words] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.cumsum(counts, dtype=np.int32)
+        places = np.repeat(starts[words] - (ends - counts), counts)
+        places += np.arange(len(places), dtype=np.int32)
+        own = ids[places]
         edges = np.concatenate([[0], ends])[borders].tolist()
         for a, b in zip(edges, edges[1:], strict=False):
             yield own[a:b].tobytes()
@@ -156,6 +161,7 @@ def binary_parts(length: int) -> list[tuple[int, int]]:
 
 
 def _tokenize(path: str, capacity: int, end_id: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = _ENCODERS.setdefault(path, None) or WordEncoder(path), TaskContext.get().partitionId()
         _ENCODERS[path] = encoder  # words stay known to the tasks that follow in this worker

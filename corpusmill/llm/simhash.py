@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import frugal, staged
 from .components import components
 
 SEED = 42
@@ -304,6 +304,7 @@ def anchors(own: np.ndarray) -> np.ndarray:
 
 
 def _features(shingle: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
@@ -429,6 +430,7 @@ def _members(tids: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _cell_links(far: int, similarity: float):
     """(u, v) of the cells in a stream that is sorted by cell and text; the cells of few members are compared together."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, tids, fps in _runs(["cell", "tid", "fp"])(batches):
             new = np.r_[True, (keys[1:] != keys[:-1]) | (tids[1:] != tids[:-1])]  # two bands may give one key
@@ -487,6 +489,7 @@ def _unit_links(shingle: int, far: int, similarity: float):
         found = verified_links(sets, np.unique(np.array(roots, object), return_inverse=True)[1], far, similarity) if len(tids) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([tids[i[k]] for i in found], pa.binary()) for k in (0, 1)], names=["u", "v"])
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, own = None, ([], [], [])
         for batch in batches:

@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from corpusmill.llm import langid
@@ -146,3 +147,19 @@ def test_a_very_long_text(spark):
     model = langid.train(corpus(spark))
     text = made("bb", 120_000, rng) * 3
     assert len(text) > 2 * langid.SPAN and model.predict(text)[0] == "bb" and model.explained(text) == "bb"
+
+
+def test_the_filter_holds_few_rows_at_a_time(prose):
+    """It gives the rows of a large batch in smaller ones, in their order."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    texts = [None if i % 5 == 0 else t for i, t in enumerate(prose(50, words=6) * 100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array(texts), pa.nulls(5000, pa.string())], names=["doc_id", "text", "lang"])
+    for langs in ([], ["a"]):
+        model = SimpleNamespace(value=langid.Model(langs, np.ones((langid.BUCKETS, len(langs)), np.int64)))
+        got = list(langid._keep(model, 1, 2, langid.NOISE)([batch, batch.slice(0, 0)]))
+        assert max(b.num_rows for b in got) <= langid.ROWS_AT_ONCE
+        assert [x for b in got for x in b.column(0).to_pylist()] == [i for i in range(5000) if i % 5]
+        assert {x for b in got for x in b.column(2).to_pylist()} == {langs[0] if langs else None}
