@@ -123,7 +123,10 @@ def route(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _summed(rows: np.ndarray, columns: Iterator[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, sums of its values) for each different row; the values come column after column."""
     some = np.flatnonzero(np.bincount(rows, minlength=size))
-    return some, np.stack([np.bincount(rows, x, size)[some] for x in columns], 1).astype(np.float32)
+    number = np.empty(size, np.int64)
+    number[some] = np.arange(len(some))
+    codes = number[rows]  # the sums stay together
+    return some, np.stack([np.bincount(codes, x, len(some)) for x in columns], 1).astype(np.float32)
 
 
 class Network:
@@ -144,15 +147,12 @@ class Network:
     def flat(self) -> np.ndarray:
         return np.concatenate([self.embed.ravel(), self.place.ravel(), self.node.ravel(), self.bias])
 
-    def _forward(self, around: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        near, vectors = self.embed[around], self.node[nodes]
-        hidden = np.tanh((near * self.place).sum(1))
-        return near, hidden, vectors, np.einsum("nkw,nw->nk", vectors, hidden) + self.bias[nodes]
-
     def log_p(self, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """log p(identity | around), for every row; a row's value doesn't depend on the others."""
         nodes, turns = route(ids)
-        logits = self._forward(around, nodes)[3]
+        near, vectors = np.take(self.embed, around, 0, mode="clip"), np.take(self.node, nodes, 0, mode="clip")  # all are valid; to clip is quicker
+        hidden = np.tanh(np.einsum("npw,pw->nw", near, self.place))
+        logits = np.einsum("nkw,nw->nk", vectors, hidden) + np.take(self.bias, nodes)
         against = 1 + np.exp(np.clip((1 - 2 * turns) * logits, -20, 20))
         return -np.log(np.multiply.reduce(against, axis=1, dtype=np.float64))
 
@@ -170,21 +170,27 @@ class Network:
         logits[:, :UPPER] = np.take(hidden @ top.T, cells)
         np.einsum("nkw,nw->nk", vectors, hidden, out=logits[:, UPPER:])
         logits += np.take(self.bias, nodes)
-        wrong = 1 / (1 + np.exp(-np.clip(logits, -20, 20))) - turns
+        wrong = np.negative(np.clip(logits, -20, 20, out=logits), out=logits)
+        wrong = np.exp(wrong, out=wrong)
+        wrong += 1
+        wrong = np.subtract(np.reciprocal(wrong, out=wrong), turns, out=wrong)
         above, below = np.zeros((len(ids), len(top)), np.float32), wrong[:, UPPER:]
         above.ravel()[cells] = wrong[:, :UPPER]
         back = (above @ top + np.einsum("nk,nkw->nw", below, vectors)) * (1 - hidden * hidden)
         with_one = np.concatenate([hidden, np.ones((len(ids), 1), np.float32)], 1)
-        rows, low = _summed(lower.astype(np.int64).ravel(), ((below * x[:, None]).ravel() for x in with_one.T), BUCKETS)
+        # Level by level and place by place, so that the products run along the tokens.
+        by_level, by_width = np.ascontiguousarray(below.T), np.ascontiguousarray(back.T)
+        rows, low = _summed(lower.T.astype(np.int64).ravel(), ((by_level * x).ravel() for x in np.ascontiguousarray(with_one.T)), BUCKETS)
         rows, of_node = np.concatenate([np.arange(1 << UPPER), rows]), np.concatenate([above.T @ with_one, low])
-        words, of_embed = _summed(around.astype(np.int64).ravel(), ((x[:, None] * weight).ravel() for x, weight in zip(back.T, self.place.T, strict=True)), BUCKETS + 1)
+        words, of_embed = _summed(around.T.astype(np.int64).ravel(), ((weight[:, None] * x).ravel() for x, weight in zip(by_width, self.place.T, strict=True)), BUCKETS + 1)
         return [(words, of_embed), (np.arange(len(PLACES)), np.einsum("nw,npw->pw", back, near)), (rows, of_node[:, :WIDTH]), (rows, of_node[:, WIDTH])]
 
     def learn(self, around: np.ndarray, ids: np.ndarray) -> None:
         """One step, each row's divided by the root of its squared gradients so far."""
         for own, past, (rows, change) in zip((self.embed, self.place, self.node, self.bias), self.past, self.gradients(around, ids), strict=True):
-            past[rows] += np.einsum("ij,ij->i", *[change.reshape(len(rows), -1)] * 2) / (change.size / len(rows))
-            own[rows] -= change * (RATE / np.sqrt(past[rows])).reshape(-1, *[1] * (change.ndim - 1))
+            now = np.take(past, rows) + np.einsum("ij,ij->i", *[change.reshape(len(rows), -1)] * 2) / (change.size / len(rows))
+            past[rows] = now
+            own[rows] = np.take(own, rows, 0) - change * (RATE / np.sqrt(now)).reshape(-1, *[1] * (change.ndim - 1))
 
 
 #: What training a split gives: its parameters in parts, and its texts in blocks, as numbers of their words.
@@ -308,14 +314,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
 def word_shares(words: DataFrame) -> DataFrame:
     """(block, at, id, share) for words(block, at, word, n): the log of each word's share of its identity over all blocks, half a token added to each word.
 
-    The corpus's words meet once, by word; a word has as many rows as there are blocks that hold it.
+    The corpus's words meet once, by identity, of which a word has one; a word has as many rows as there are blocks that hold it.
     """
-    same = Window.partitionBy("word")
-    table = words.withColumns({"total": F.sum("n").over(same), "blocks": F.count("*").over(same), "id": F.shiftrightunsigned("word", 64 - BITS).cast("int")})
+    met = words.withColumn("id", F.shiftrightunsigned("word", 64 - BITS).cast("int")).repartition("id")
+    same, own = Window.partitionBy("word", "id"), Window.partitionBy("id")  # sorted by the word first, which tells more
+    table = met.withColumns({"total": F.sum("n").over(same), "blocks": F.count("*").over(same)})
     # Each word gives its half token once: what its rows give adds up to a whole number.
-    wholes = table.groupBy(F.col("id").alias("of")).agg((F.sum("n") + 0.5 * F.round(F.sum(1 / F.col("blocks")))).alias("whole"))  # BUCKETS rows at most
-    shares = table.join(F.broadcast(wholes), F.col("id") == F.col("of"))
-    return shares.select("block", "at", "id", F.log((F.col("total") + 0.5) / F.col("whole")).alias("share"))
+    whole = F.sum("n").over(own) + 0.5 * F.round(F.sum(1 / F.col("blocks")).over(own))
+    return table.select("block", "at", "id", F.log((F.col("total") + 0.5) / whole).alias("share"))
 
 
 def _score(model):

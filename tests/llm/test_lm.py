@@ -157,3 +157,23 @@ def test_words_of_one_identity_have_their_own_share(spark):
 def test_packed_numbers():
     for x in ([], [0], [5, 70_000, 3, 2**31 - 1, 0]):
         assert lm.unpacked(lm.packed(np.array(x, np.int32))).tolist() == x
+
+
+def test_the_words_of_the_corpus_are_shuffled_once(spark):
+    """Shares by brute force, from one exchange of the words and none of anything else."""
+    rng = random.Random(4)
+    names = [rng.randrange(-(2**63), 2**63) for _ in range(40)]
+    names += [x ^ k for x in names for k in (1, 2)]  # three words to an identity
+    rows = [(block, at, x, rng.randint(1, 9)) for block in range(7) for at, x in enumerate(rng.sample(names, 60))]
+    shares = lm.word_shares(spark.createDataFrame(rows, "block long, at int, word long, n long"))
+    assert shares._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    total, whole = dict.fromkeys({r[2] for r in rows}, 0), {}
+    for _, _, x, n in rows:
+        total[x] += n
+    identity = lambda x: x % 2**64 >> 64 - lm.BITS
+    for x, n in total.items():
+        whole[identity(x)] = whole.get(identity(x), 0) + n + 0.5
+    got = {(r.block, r["at"]): (r.id, r.share) for r in shares.collect()}
+    assert len(got) == len(rows)
+    for block, at, x, _ in rows:
+        assert got[block, at] == (identity(x), pytest.approx(np.log((total[x] + 0.5) / whole[identity(x)]), rel=1e-12))
