@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import frugal, staged
+from .common import frugal, give_back, staged
 
 CAPACITY = 4096
 END_ID = 2
@@ -186,6 +186,7 @@ def _tokenize(path: str, capacity: int, end_id: int):
                         column.append(x)
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=[x.split()[0] for x in TOKENIZED.split(", ")])
+                give_back()
 
     return run
 

@@ -93,3 +93,20 @@ def test_encoder_equals_the_tokenizer(path):
     encoder = WordEncoder(path)
     for _ in range(2):
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [whole_ids(path, t)[:-1] for t in texts]
+
+
+def test_memory_is_given_back_after_every_part(monkeypatch, prose, path):
+    """A task has many parts, and what they leave behind must not add up."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from corpusmill.llm import packing
+
+    given, docs = [], prose(25, words=5)
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(packing, "TEXTS_AT_ONCE", 10)
+    monkeypatch.setattr(packing, "give_back", lambda: given.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(25)), pa.array(docs)], names=["doc_id", "text"])
+    got = [r for b in packing._tokenize(path, CAPACITY, 2)([batch]) for r in b.to_pylist()]
+    assert len(given) == 3 and [(r["doc_id"], r["doc_tokens"]) for r in got] == [(i, len(whole_ids(path, t))) for i, t in enumerate(docs)]
