@@ -71,3 +71,14 @@ def test_stages_on_odd_rows(spark, odd, none):
             assert {r.lines_kept for r in rows} == {"own"} and {r.lang for r in rows} == {"en"}
         else:
             assert not rows and not pieces
+
+
+def test_run_equals_the_operators_with_copies_counted_once(spark):
+    """As above, with line dedup as the pipeline asks for it: a short text that two pages hold stays."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    kept = simhash.keep_one(line_dedup.drop_boilerplate(langid.keep_known(docs), once=True, counts=False)).select("doc_id", "text")
+    total = {r.doc_id: r.doc_tokens for r in packing.tokenized(kept, tokenizer_path(WORD_BPE)).collect()}
+    sizes: dict = {}
+    for r in corpus_pipeline.run(spark, DATA).collect():
+        sizes[r.doc_id] = sizes.get(r.doc_id, 0) + r.length
+    assert sizes == total and sizes[13] > 1 and 53 not in sizes
