@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import count_matches, let, lines, share, strip, words
+from .text import BLANK, count_matches, let, lines, re2, share, strip, words
 
 #: Patterns of recognition errors, of structure (line by line) and of gibberish (any case).
 OCR_PATTERNS = (r"[Il1]{3,}", r"[O0]{3,}", r"[^\x00-\x7F]{5,}", r"\b[a-z]+[A-Z]+[a-z]+\b", r"[.,]{3,}", r"\s{5,}", r"[|]{2,}", r"[_]{5,}", r"\b\w{20,}\b")
@@ -52,18 +52,30 @@ def text_score(text: Column) -> Column:
 def ocr_score(text: Column) -> Column:
     per_thousand = F.length(text) / 1000
     errors = count_matches(text, OCR_PATTERNS) / per_thousand
-    gibberish = count_matches(text, [f"(?i){p}" for p in GIBBERISH_PATTERNS]) / per_thousand
+    # A repeated character is one in any case, beyond ASCII too.
+    runs = [p for p in GIBBERISH_PATTERNS if r"\1" in p]
+    gibberish = (count_matches(text, [f"(?i){p}" for p in GIBBERISH_PATTERNS if p not in runs]) + count_matches(F.lower(text), runs)) / per_thousand
     penalty = let(errors, lambda e: _ladder(e, ((10, 0.5), (5, 0.3), (2, 0.1))))
     return F.greatest(F.lit(0.0), 1.0 - penalty - let(gibberish, lambda g: _ladder(g, ((5, 0.3), (2, 0.15)))))
 
 
+def _variance(values: Column) -> Column:
+    """Population variance by running means, in the steps of the SQL's, so that both stand on one side of a threshold."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def step(s: Column, x: Column) -> Column:
+        mean = s["mean"] + (x - s["mean"]) / (s["n"] + 1.0)
+        return F.struct((s["n"] + 1.0).alias("n"), mean.alias("mean"), (s["squares"] + (x - mean) * (x - s["mean"])).alias("squares"))
+
+    return F.aggregate(values, start, step, lambda s: F.when(s["n"] > 0, s["squares"] / s["n"]))
+
+
 def format_score(text: Column) -> Column:
     def score(own: Column) -> Column:
-        full = F.filter(own, lambda x: F.rlike(x, F.lit(r"\S")))
+        full = F.filter(own, lambda x: F.rlike(x, F.lit(f"[^{BLANK}]")))
         lengths = F.transform(full, lambda x: F.length(x).cast("double"))
-        mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
-        variance = let(lengths, lambda a: let(mean(a), lambda m: mean(F.transform(a, lambda x: (x - m) * (x - m)))))
-        indents = F.array_distinct(F.transform(full, lambda x: F.length(x) - F.length(F.regexp_replace(x, r"^\s+", ""))))
+        variance = _variance(lengths)
+        indents = F.array_distinct(F.transform(full, lambda x: F.length(x) - F.length(F.regexp_replace(x, re2(r"^\s+"), ""))))
         some = F.size(full) > 0
         out = 1.0 - F.when(some & (variance > 10000), 0.2).otherwise(0.0)
         out = out - F.when((F.size(own) - F.size(full)) / F.size(own) > 0.5, 0.2).otherwise(0.0)
@@ -101,7 +113,7 @@ def metrics(text: Column) -> Column:
         lower = F.transform(own, F.lower)
         mean = F.when(n > 0, F.aggregate(own, F.lit(0).cast("long"), lambda s, w: s + F.length(w)) / n).otherwise(0.0)
         upper = F.when(F.length(letters) > 0, F.length(F.regexp_replace(letters, r"[^\p{Lu}]", "")) / F.length(letters)).otherwise(0.0)
-        special = F.when(F.length(text) > 0, F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s]", "")) / F.length(text)).otherwise(0.0)
+        special = F.when(F.length(text) > 0, F.length(F.regexp_replace(text, re2(r"[\p{L}\p{N}\s]"), "")) / F.length(text)).otherwise(0.0)
         return F.struct(
             F.length(text).cast("long").alias("char_count"), n.cast("long").alias("word_count"), F.size(lines(text)).cast("long").alias("line_count"), mean.alias("avg_word_length"),
             F.when(n > 0, F.size(F.array_distinct(lower)) / n).otherwise(0.0).alias("unique_word_ratio"), upper.alias("uppercase_ratio"),

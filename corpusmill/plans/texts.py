@@ -34,7 +34,7 @@ def _scored(spark, d):
 
 
 def quality_scores(spark, d):
-    out = _scored(spark, d).select("doc_id", *[F.round(f"{k}_score", 6).alias(f"{k}_score") for k in quality.WEIGHTS], F.round("overall_score", 6).alias("overall_score"), "tier", F.array_join("issues", ";").alias("issues"), F.array_join("warnings", ";").alias("warnings"), "recommended_pipeline", "manual_review")
+    out = _scored(spark, d).select("doc_id", *[sql.rounded(F.col(f"{k}_score"), 6).alias(f"{k}_score") for k in quality.WEIGHTS], sql.rounded(F.col("overall_score"), 6).alias("overall_score"), "tier", F.array_join("issues", ";").alias("issues"), F.array_join("warnings", ";").alias("warnings"), "recommended_pipeline", "manual_review")
     return out
 
 
@@ -44,14 +44,14 @@ def quality_tier_counts(spark, d):
 
 def quality_vs_label(spark, d):
     labels = spark.read.parquet(f"{d}/labels.parquet")
-    return _scored(spark, d).join(labels, "doc_id").groupBy("quality", "tier").agg(F.count("*").alias("n"), F.round(F.avg("overall_score"), 6).alias("mean_score"))
+    return _scored(spark, d).join(labels, "doc_id").groupBy("quality", "tier").agg(F.count("*").alias("n"), sql.rounded(F.avg("overall_score"), 6).alias("mean_score"))
 
 
 def quality_metrics(spark, d):
     m = quality.metrics(F.col("text"))
     names = ("char_count", "word_count", "line_count")
     ratios = ("avg_word_length", "unique_word_ratio", "uppercase_ratio", "digit_ratio", "special_char_ratio")
-    return _docs(spark, d).select("doc_id", m.alias("m")).select("doc_id", *[F.col(f"m.{n}").alias(n) for n in names], *[F.round(f"m.{n}", 6).alias(n) for n in ratios])
+    return _docs(spark, d).select("doc_id", m.alias("m")).select("doc_id", *[F.col(f"m.{n}").alias(n) for n in names], *[sql.rounded(F.col(f"m.{n}"), 6).alias(n) for n in ratios])
 
 
 def quality_router(spark, d):
