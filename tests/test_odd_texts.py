@@ -41,3 +41,37 @@ def same(spark, tmp_path):
 @pytest.mark.parametrize("name", ["quality_scores", "quality_tier_counts", "quality_router", "chunk_strategy_route", "quality_metrics"])
 def test_quality_of_odd_texts(same, name):
     same(name, QUALITY_TEXTS)
+
+
+CONTRACT_TEXTS = (
+    "A fee of $1234567890123456.78 per month and $9,007,199,254,740,993.01 yearly", "It costs $12345678901234567890 in all, $, or $5.5", "Agreement between\x0bAcme LLC, effective as of\x0b1/2/2023", "governed by the lawſ of the State of Kſy",
+    "between Kappa Kſ Inc and others", "ALL CAPITALS LINE\u0085\nparty: Some One", "\x0bMASTER AGREEMENT\x0b\nplain", "", "expires on\n12/31/2025 at $ 1,000.50\nper  week",
+)
+
+
+def test_contracts_of_odd_texts(same):
+    same("contract_metadata", CONTRACT_TEXTS)
+
+
+FINANCIAL_TEXTS = (
+    "revenue was $5 million and x$7y $8", "this is $1.5 thouſand\nof\x0b$3", "a b c d $1 e$2$3 was is $4,000.50 billion", "w" * 3000 + " " + "v" * 3000 + " and no amount", "w" * 400 + " is  \n $12", "$9 alone", "Kappa Holdings Corp\nQ1 2023 FYſ 2024",
+    "Annual Report of some Widgets Inc", "quarter ended\x0bMarch 3, 2023", "1 $" * 30, "",
+)
+
+
+def test_financial_fields_of_odd_texts(same):
+    same("financial_metadata", FINANCIAL_TEXTS)
+
+
+def test_amounts_are_looked_for_in_linear_time(spark):
+    """A long word was tried from and to each of its characters."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from corpusmill.functions import metadata
+
+    frame = spark.createDataFrame([("w" * 6000 + " " + "v" * 6000 + " " * 3000 + " costs of $5 million",)], "text string")
+    began = time.monotonic()
+    assert [a.context for a in frame.select(metadata.financial(F.col("text")).key_amounts.alias("a")).first().a] == ["v" * 6000 + " " * 3001 + "costs"]
+    assert time.monotonic() - began < 20
