@@ -24,7 +24,7 @@ def _index(spark, d):
 
 
 def _rounded(frame, *names, digits=6):
-    return frame.withColumns({n: F.round(n, digits) for n in names})
+    return frame.withColumns({n: sql.rounded(F.col(n), digits) for n in names})
 
 
 def bm25_topk_benchmark(spark, d):
