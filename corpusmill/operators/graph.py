@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import any_hit, let, strip
 from ..sources.staging import staged
 
 #: Patterns of each relation, in their order; the first group is what is referred to.
@@ -24,6 +24,11 @@ PATTERNS = (
     ("incorporates", r"incorporat(?:es?|ed|ing)\s+(?:herein\s+)?by\s+reference\s+([^.]+)"),
     ("incorporates", r"deemed\s+(?:to\s+be\s+)?incorporated\s+([^.]+)"),
 )
+#: One of these stands, in any case, in whatever the pattern at the same place finds.
+SIGNS = (
+    ("amend",), ("amendment",), ("supersede",), ("replace",), ("exhibit",), ("exhibit",), ("pursuant to", "in accordance with", "as defined in", "as set forth in"), ("see", "refer to", "reference to"),
+    ("irc", "i.r.c."), ("u.s.c.", "usc"), ("c.f.r.", "cfr"), ("incorporat",), ("incorporated",),
+)
 #: All relation types that edges may have, from both models.
 RELATION_TYPES = ("amends", "supersedes", "exhibits_to", "supplement_to", "references", "cites", "incorporates", "related_to", "contradicts", "clarifies", "precedes", "follows", "implements", "complies_with", "exhibit_of", "annexure_to", "version_of", "translation_of")
 #: Fixed values of the confidence.
@@ -49,18 +54,23 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     context: the match with up to 100 characters before and behind it. The private character U+E000 counts as a space.
     """
-    text = F.translate(F.col(text_col), _MARK, " ")
+    text, none = F.translate(F.col(text_col), _MARK, " "), F.array().cast("array<struct<ord:bigint,relation_type:string,reference:string,matched:string,context:string>>")
 
-    def matches(number: int, kind: str, pattern: str) -> Column:
+    def matches(text: Column, lower: Column, number: int, kind: str, pattern: str) -> Column:
+        """A text without the pattern's signs, or without a match, goes no further than that."""
         p = f"(?i){pattern}"
-        whole, group = F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.regexp_extract_all(text, F.lit(p), F.lit(1))
-        pieces = F.split(F.regexp_replace(text, p, _MARK + "$0" + _MARK), _MARK)
+        found = F.when(any_hit(lower, SIGNS[number]), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        return let(found, lambda whole: F.when(F.size(whole) > 0, placed(text, whole, number, kind, p)).otherwise(none))
+
+    def placed(text: Column, whole: Column, number: int, kind: str, p: str) -> Column:
+        groups = F.regexp_extract_all(text, F.lit(p), F.lit(1))
+        marked = F.split(F.regexp_replace(text, p, _MARK + "$0" + _MARK), _MARK)
         # Pieces alternate: text between matches, match, text, ...; the ends of both neighbours give the context.
-        around = lambda i: F.concat(F.substring(F.get(pieces, 2 * i), -CONTEXT, CONTEXT), F.get(pieces, 2 * i + 1), F.substring(F.get(pieces, 2 * i + 2), 1, CONTEXT))
-        row = lambda m, i: F.struct((F.lit(number) * 1_000_000 + i).cast("long").alias("ord"), F.lit(kind).alias("relation_type"), strip(F.get(group, i)).alias("reference"), m.alias("matched"), around(i).alias("context"))
-        return F.transform(whole, row)
+        around = lambda pieces, i: F.concat(F.substring(F.get(pieces, 2 * i), -CONTEXT, CONTEXT), F.get(pieces, 2 * i + 1), F.substring(F.get(pieces, 2 * i + 2), 1, CONTEXT))
+        row = lambda group, pieces, m, i: F.struct((F.lit(number) * 1_000_000 + i).cast("long").alias("ord"), F.lit(kind).alias("relation_type"), strip(F.get(group, i)).alias("reference"), m.alias("matched"), around(pieces, i).alias("context"))
+        return let(groups, lambda group: let(marked, lambda pieces: F.transform(whole, lambda m, i: row(group, pieces, m, i))))
 
-    found = F.concat(*[matches(i, kind, p) for i, (kind, p) in enumerate(PATTERNS)])
+    found = let(text, lambda own: let(F.lower(own), lambda lower: F.concat(*[matches(own, lower, i, kind, p) for i, (kind, p) in enumerate(PATTERNS)])))
     each = docs.select(F.col(id_col).alias("source_id"), F.explode(found).alias("m")).select("source_id", "m.*")
     return each.withColumn("confidence", confidence(F.col("relation_type"), F.col("matched")))
 
@@ -78,6 +88,7 @@ def resolve(relations: DataFrame, known: DataFrame) -> DataFrame:
     lookup is a join on runs of GRAM characters: a reference has all of its runs, an identifier only that of its own that
     the fewest identifiers hold (a shorter identifier is one run), and what meets is verified.
     """
+    relations = staged(relations, "relations")  # texts are read once
     refs = relations.select("reference").distinct().withColumn("lower", F.lower("reference"))
     held = refs.select("reference", "lower", F.explode(F.concat(*[_grams(F.col("lower"), n) for n in range(1, GRAM + 1)])).alias("gram"))
     names = staged(known.withColumn("name", F.lower("identifier")).where("name <> ''").groupBy("name").agg(F.min_by("document_id", "ord").alias("document_id"), F.min("ord").alias("ord")), "names")
