@@ -284,21 +284,27 @@ def legacy_tree(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     from .structure import STRICT_LEGAL, strict_level_of
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    root = F.concat(F.col(id_col).cast("string"), F.lit("_doc"))
+    root, none = F.concat(F.col(id_col).cast("string"), F.lit("_doc")), F.lit(None).cast("string")
+    chunk = lambda name, parent, level, own: F.struct(name.alias("chunk_id"), parent.alias("parent_id"), F.lit(level).alias("level"), own.alias("text"))
+    numbered = lambda parent, kind, i: F.concat(parent, F.lit(f"_{kind}_"), i.cast("string"))
+
+    def below_paragraph(name: Column, parent: Column, own: Column) -> Column:
+        each = F.transform(sentences(own), lambda x, i: chunk(numbered(name, "sent", i), name, "sentence", x))
+        return F.concat(F.array(chunk(name, parent, "paragraph", own)), F.filter(each, lambda c: F.length(c.text) >= LEAST_SENTENCE))
+
+    def below_section(name: Column, parent: Column, body: Column) -> Column:
+        each = F.flatten(F.transform(packed_by_chars(paragraphs(body)), lambda p, i: let(numbered(name, "para", i), lambda para: below_paragraph(para, name, p))))
+        return F.concat(F.array(chunk(name, parent, "section", body)), each)
+
+    def tree(bodies: Column) -> Column:
+        """All chunks of a document; its text is walked once."""
+        own = F.when(F.size(bodies) > 0, bodies).otherwise(F.array(strip(text)))
+        each = F.flatten(F.transform(own, lambda body, i: let(numbered(F.col("root"), "sec", i), lambda sec: below_section(sec, F.col("root"), body))))
+        return F.concat(F.array(chunk(F.col("root"), none, "document", text)), each)
+
     found = headings(text, STRICT_LEGAL, any_case=False, level=strict_level_of)
-    bodies = F.filter(F.transform(found, lambda s: F.struct(s.title.alias("title"), strip(F.substring(text, (s.start + 1).cast("int"), (s.end - s.start).cast("int"))).alias("body"))), lambda s: F.length(s.body) >= 100)
-    whole = F.array(F.struct(F.lit(None).cast("string").alias("title"), strip(text).alias("body")))
-    base = docs.select(F.col(id_col), root.alias("doc_chunk"), text.alias("t"), F.when(F.size(bodies) > 0, bodies).otherwise(whole).alias("sections"))
-    secs = base.select(id_col, "doc_chunk", F.posexplode("sections").alias("i", "s")).select(id_col, "doc_chunk", F.concat("doc_chunk", F.lit("_sec_"), F.col("i").cast("string")).alias("sec_chunk"), "s.body")
-    paras = secs.select(id_col, "sec_chunk", F.posexplode(packed_by_chars(paragraphs(F.col("body")))).alias("i", "p")).select(id_col, "sec_chunk", F.concat("sec_chunk", F.lit("_para_"), F.col("i").cast("string")).alias("para_chunk"), "p")
-    sents = paras.select(id_col, "para_chunk", F.posexplode(sentences(F.col("p"))).alias("i", "x")).where(F.length("x") >= LEAST_SENTENCE)
-    none = F.lit(None).cast("string")
-    return (
-        base.select(id_col, F.col("doc_chunk").alias("chunk_id"), none.alias("parent_id"), F.lit("document").alias("level"), F.col("t").alias("text"))
-        .unionAll(secs.select(id_col, "sec_chunk", "doc_chunk", F.lit("section"), "body"))
-        .unionAll(paras.select(id_col, "para_chunk", "sec_chunk", F.lit("paragraph"), "p"))
-        .unionAll(sents.select(id_col, F.concat("para_chunk", F.lit("_sent_"), F.col("i").cast("string")), "para_chunk", F.lit("sentence"), "x"))
-    )
+    bodies = F.filter(F.transform(found, lambda s: strip(F.substring(text, (s.start + 1).cast("int"), (s.end - s.start).cast("int")))), lambda body: F.length(body) >= 100)
+    return docs.select(F.col(id_col), F.col(text_col), root.alias("root")).select(id_col, F.explode(let(bodies, tree)).alias("c")).select(id_col, "c.*")
 
 
 def pages_as_of(chunks: DataFrame, boundaries: DataFrame, id_col: str = "doc_id", start_col: str = "start") -> DataFrame:
