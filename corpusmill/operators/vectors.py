@@ -27,6 +27,8 @@ def l2(a: Column, b: Column) -> Column:
 
 #: Queries, or patches of queries, that one pass over the vectors answers; their matrix goes to every task.
 QUERY_BLOCK = 4096
+#: Vectors that meet 512 queries in one product, whatever the batches; pairs that are scored row by row at once.
+VECTOR_BLOCK, EXACT_BLOCK = 1024, 32768
 METRICS = ("cosine", "dot", "euclid")
 #: What rounding may add to a matrix product, for each unit of the vectors' lengths.
 ROUNDING = 1e-12
@@ -95,7 +97,7 @@ def _nearest(queries, k: int, metric: str):
         for batch in batches:
             ids, kind = batch.column(0).to_numpy(zero_copy_only=False), batch.schema.field(0).type
             best = best or _Best(len(names), k)
-            for size, (rows, v) in _matrices(batch.column(1), np.arange(batch.num_rows)).items():
+            for size, (rows, v) in (own for begin in range(0, batch.num_rows, VECTOR_BLOCK) for own in _matrices(batch.column(1).slice(begin, VECTOR_BLOCK), np.arange(begin, min(begin + VECTOR_BLOCK, batch.num_rows))).items()):
                 if metric == "cosine":
                     some = np.any(v != 0, axis=1)
                     rows, v = rows[some], v[some]
@@ -112,8 +114,9 @@ def _nearest(queries, k: int, metric: str):
                         kth = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k][:, None]
                         limit = np.maximum(limit, kth)
                     x, y = np.nonzero(near >= limit - slack)
-                    if len(x):
-                        best.add(own[x], ids[rows[y]], _exact(metric, part[x], v[y]))
+                    for at_once in range(0, len(x), EXACT_BLOCK):  # ties may be many
+                        i, j = x[at_once : at_once + EXACT_BLOCK], y[at_once : at_once + EXACT_BLOCK]
+                        best.add(own[i], ids[rows[j]], _exact(metric, part[i], v[j]))
         if best is not None and best.ids is not None:
             yield pa.RecordBatch.from_arrays([names.take(pa.array(best.query)), pa.array(best.ids, kind), pa.array(best.score)], names=["query_id", "id", "score"])
 

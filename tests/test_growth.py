@@ -51,3 +51,27 @@ def test_a_tree_is_built_in_one_pass(spark):
     found = chunking.legacy_tree(docs(spark))
     assert plan(found).count("Generate") == 1 and "Union" not in plan(found)
     assert {r.level for r in found.select("level").distinct().collect()} == {"document", "section", "paragraph", "sentence"}
+
+
+def test_a_batch_of_vectors_meets_queries_in_bounded_products():
+    """Memory of a task doesn't follow the length of its batches, nor the number of ties."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from corpusmill.operators import vectors
+
+    rng = np.random.default_rng(0)
+    own = rng.normal(size=(20_000, 16))
+    own[::3] = own[0]
+    lists = lambda m: pa.array(m.tolist(), pa.list_(pa.float64()))
+    asked = SimpleNamespace(value=pa.table({"query_id": pa.array(range(512)), "q": lists(own[:512])}))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20_000)), lists(own)], names=["id", "v"])
+    tracemalloc.start()
+    out = list(vectors._nearest(asked, 5, "dot")(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    first = sorted(zip(*(out[0].column(c).to_pylist() for c in ("query_id", "id", "score")), strict=True))
+    assert peak < 100e6 and {i for q, i, s in first if q == 0} == set(np.lexsort((np.arange(20_000), -np.round(own @ own[0], 9)))[:5].tolist())
